@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_groups
-from pagewright.llm.staging import stage_rows
+from pagewright.llm.mixing import mix, word_count
+from pagewright.llm.packing import pack
+from pagewright.llm.sharding import shuffle_to_shards
+from pagewright.llm.staging import stage, stage_rows
+
+#: The tokenizer files lie outside the repository; another folder can be named in the environment.
+TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
+    mixed = mix(sized, size=F.col("words"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position")
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return shuffle_to_shards(docs).select(
+        "*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stage_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents")
     return exact_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLES = {
     "op8_exact_dedup": """
