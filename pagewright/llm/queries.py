@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_groups
+from pagewright.llm.labelled import remainder
 from pagewright.llm.mixing import mix, word_count
 from pagewright.llm.packing import pack
+from pagewright.llm.quality import fit_quality, score_quality
 from pagewright.llm.sharding import shuffle_to_shards
 from pagewright.llm.staging import stage, stage_rows
+from pagewright.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 #: The tokenizer files lie outside the repository; another folder can be named in the environment.
 TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -21,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(scores: DataFrame, held_out, least: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return _scored(score_quality(docs, fit_quality(docs, labels, ~held_out)), held_out, 0.5)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
@@ -30,6 +45,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return _scored(score_toxicity(docs, fit_toxicity(docs, labels, ~held_out)), held_out, THRESHOLD)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -52,7 +73,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
