@@ -15,6 +15,7 @@ from pagewright.llm.quality import fit_quality, score_quality
 from pagewright.llm.sharding import shuffle_to_shards
 from pagewright.llm.staging import stage, stage_rows
 from pagewright.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+from pagewright.llm.topk import top_k
 
 #: The tokenizer files lie outside the repository; another folder can be named in the environment.
 TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, "vec_id", "embedding")
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def _scored(scores: DataFrame, held_out, least: float) -> DataFrame:
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
@@ -73,6 +79,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
@@ -82,6 +89,21 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
