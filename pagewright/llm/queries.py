@@ -11,6 +11,7 @@ from pagewright.llm.exact_dedup import exact_groups
 from pagewright.llm.labelled import remainder
 from pagewright.llm.mixing import mix, word_count
 from pagewright.llm.packing import pack
+from pagewright.llm.preference import format_preferences
 from pagewright.llm.quality import fit_quality, score_quality
 from pagewright.llm.sharding import shuffle_to_shards
 from pagewright.llm.staging import stage, stage_rows
@@ -42,6 +43,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, fit_quality(docs, labels, ~held_out)), held_out, 0.5)
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as chosen and rejected of pair k: the tables hold no judged pairs."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    runs = lambda c: F.array_join(
+        F.transform(c, lambda r: F.concat(F.when(r["train"], "+").otherwise("-"), r["n_chars"].cast("string"))), " "
+    )
+    return pairs.withColumns({c: runs(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
@@ -81,6 +92,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
+    "op3_preference": op3_preference,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
@@ -104,6 +116,32 @@ ORACLES = {
                vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op3_preference": """
+        WITH s AS (
+            SELECT conv_id // 2 AS pair_id,
+                   list({'role': coalesce(role, 'none'), 'text': coalesce(text, '')} ORDER BY turn, role, text)
+                       FILTER (conv_id % 2 = 0) AS a0,
+                   list({'role': coalesce(role, 'none'), 'text': coalesce(text, '')} ORDER BY turn, role, text)
+                       FILTER (conv_id % 2 = 1) AS b0
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id // 2
+        ), p AS (
+            SELECT pair_id, coalesce(a0, []) AS a, coalesce(b0, []) AS b,
+                   coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1),
+                       lambda i: coalesce(a[i] = b[i], false)), false) - 1, len(a)) AS n
+            FROM s
+        ), q AS (
+            SELECT *, a[1:n] AS head, a[n + 1:] AS ar, b[n + 1:] AS br FROM p
+        )
+        SELECT pair_id, CAST(n AS INTEGER) AS n_prompt_turns,
+               coalesce(list_aggregate(list_transform(head, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS prompt,
+               coalesce(list_aggregate(list_transform(ar, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS chosen,
+               coalesce(list_aggregate(list_transform(ar, lambda t: '-' || (length(t.role) + 5) || CASE WHEN t.role = 'assistant' THEN ' +' ELSE ' -' END || (length(t.text) + 1)), 'string_agg', ' '), '') AS chosen_mask,
+               coalesce(list_aggregate(list_transform(br, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS rejected,
+               coalesce(list_aggregate(list_transform(br, lambda t: '-' || (length(t.role) + 5) || CASE WHEN t.role = 'assistant' THEN ' +' ELSE ' -' END || (length(t.text) + 1)), 'string_agg', ' '), '') AS rejected_mask,
+               len(list_filter(ar, lambda t: t.role = 'assistant')) > 0 AND len(list_filter(br, lambda t: t.role = 'assistant')) > 0
+                   AND ar <> br AS usable
+        FROM q
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
