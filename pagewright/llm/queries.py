@@ -15,6 +15,7 @@ from pagewright.llm.preference import format_preferences
 from pagewright.llm.quality import fit_quality, score_quality
 from pagewright.llm.sharding import shuffle_to_shards
 from pagewright.llm.staging import stage, stage_rows
+from pagewright.llm.substring_dedup import remove_repeats
 from pagewright.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from pagewright.llm.topk import top_k
 
@@ -89,6 +90,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -98,6 +104,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
@@ -147,6 +154,28 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35
+        ), k AS (
+            SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i : i + 34], ' ')) AS n FROM s
+        ), gone AS (
+            SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM k WHERE n > 1
+        ), g AS (
+            SELECT r, list(j) AS js FROM gone GROUP BY r
+        ), one AS (
+            SELECT r, w[j] AS x, j FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)
+        ), kept AS (
+            SELECT r, string_agg(x, ' ' ORDER BY j) AS t FROM one ANTI JOIN gone USING (r, j) GROUP BY r
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.js), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (r) LEFT JOIN kept USING (r)
+    """,
 }
 
 
