@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.exact_dedup import exact_groups
 from pagewright.llm.labelled import remainder
 from pagewright.llm.mixing import mix, word_count
+from pagewright.llm.near_dedup import near_groups
 from pagewright.llm.packing import pack
 from pagewright.llm.preference import format_preferences
 from pagewright.llm.quality import fit_quality, score_quality
@@ -95,6 +96,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stage_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "documents")
+    return near_groups(rows).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
+    )
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -105,6 +113,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
