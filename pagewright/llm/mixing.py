@@ -146,5 +146,6 @@ def mix(
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """A row for each copy that mix() takes, range-sorted by its position; without the columns of mix()."""
-    copies = mixed.withColumn("position", F.explode("positions")).drop("size", "source_size", "target", "taken", "positions")
-    return copies.orderBy("position")
+    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "positions")]
+    copies = mixed.withColumn("_pw_position", F.explode("positions")).orderBy("_pw_position")
+    return copies.select(*[F.col(f"`{c}`") for c in kept])

@@ -6,6 +6,7 @@ import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,3 +174,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string").alias("_pw_text")).mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose whole text scores at the threshold or above; all columns as they came.
+
+    Only the text column goes to Python. Null and empty texts get the score of the offset alone.
+    """
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        from pagewright.llm.packing import slices
+
+        held = [fold(t) for t in texts]
+        cuts = slices(np.array([len(t) for t in held], np.int64), HELD_BYTES)
+        return pd.Series(np.concatenate([np.zeros(0), *[model.scores(held[c]) for c in cuts]]))
+
+    return docs.filter(score(F.col(text).cast("string")) < threshold)
