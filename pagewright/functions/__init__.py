@@ -1 +1 @@
-""""""
+"""Scalar functions: geometry, text, number formats."""

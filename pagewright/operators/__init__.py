@@ -1 +1 @@
-""""""
+"""Relational operators over primitives, page texts and nodes."""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pagewright.plans import documents, formats, layout, texts
 
+_ALL = texts.QUERIES | layout.QUERIES | formats.QUERIES | documents.QUERIES
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: made for name, (made, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
