@@ -27,6 +27,9 @@ BLOCK = 128
 #: Rows and pairs that a task holds at once; bytes of text.
 HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 2 << 20
 
+#: Links, or nodes, of which one task makes a forest.
+FOREST_ROWS = 1 << 19
+
 
 def sketch_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """ROW, key, n, s1, s2, sketch: size of each row's set, its identity in 128 bits, and its registers."""
@@ -113,6 +116,23 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def forest_of(links: DataFrame, name: str) -> DataFrame:
+    """a, b: links without those that others of the same share make superfluous.
+
+    Bands repeat each other's links, as blocks do; a share of FOREST_ROWS links becomes a forest in one task, so that
+    the rounds of components() have at most as many links as nodes where all links are one share.
+    """
+    held = stage(links, name)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            forest.link(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield forest.batch()
+
+    return held.repartition(held.count() // FOREST_ROWS + 1).mapInArrow(thin, "a long, b long")
+
+
 def _in_blocks(members: DataFrame, group: str, member: str, sizes: DataFrame) -> DataFrame:
     """members with i and j: each member of a group of many blocks once for each pair of blocks that it belongs to."""
     cut = members.join(sizes, group).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
@@ -170,16 +190,19 @@ def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     group = ["band", "i", "j"]
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for table in _whole_groups(batches, group):
             i, j, own, ids, n = (table.column(c).to_numpy() for c in ("i", "j", "own", "set_id", "n"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, sketches.REGISTERS)
-            forest = Forest()
             for a, b in _pairs(_bounds_of(table, group), i != j, own, i):
                 near = (sketch[a] == sketch[b]).sum(axis=1) >= SAME
                 a, b = a[near], b[near]
                 likely = sketches.estimate(sketch[a], sketch[b], n[a], n[b]) >= least
                 forest.link(ids[a[likely]], ids[b[likely]])
-            yield forest.batch()
+            if len(forest.parent) > FOREST_ROWS:
+                yield forest.batch()
+                forest = Forest()
+        yield forest.batch()
 
     grouped = shared.repartition(*group).sortWithinPartitions(*group)
     return grouped.mapInArrow(thin, "a long, b long")
@@ -258,10 +281,10 @@ def near_groups(rows: DataFrame, key: str = "doc_id", text: str = "text", percen
     lead = F.min(F.struct(F.col("key").isNull().alias("none"), "key", ROW)).alias("lead")
     sets = sketched.filter("n > 0").groupBy("s1", "s2").agg(lead, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     sets = stage(sets.withColumn("set_id", F.col(f"lead.{ROW}")), "sets")
-    fuzzy = components(candidate_links(sets, percent))
+    fuzzy = components(forest_of(candidate_links(sets, percent), "likely"))
     fuzzy = stage(fuzzy, "candidates")
     links = verified_links(fuzzy, rows.select(ROW, F.col(text).cast("string").alias("text")), percent)
-    linked = components(links)
+    linked = components(forest_of(links, "links"))
     rooted = sets.select("s1", "s2", "set_id", "lead").join(
         linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left"
     ).withColumn("root", F.coalesce("root", "set_id"))
