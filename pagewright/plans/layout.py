@@ -130,6 +130,12 @@ def columns(s, d):
 def components(s, d):
     # Documents are cut into small pages, as pages are.
     one = boxes(s, d).filter("doc % 8 = 0").groupBy("doc", "id").agg(F.min("box").alias("box"))
+    return spatial.page_components(one, ["doc"], 0.0504)
+
+
+def components_wide(s, d):
+    """The same for groups of any size, by rounds of joins."""
+    one = boxes(s, d).filter("doc % 64 = 0").groupBy("doc", "id").agg(F.min("box").alias("box"))
     return spatial.box_components(one, ["doc"], 0.0504).select("doc", "id", "component")
 
 
@@ -348,6 +354,7 @@ QUERIES = {
             )
             SELECT doc, id, min(reach) AS component FROM r GROUP BY doc, id""",
     ),
+    "components_wide": (components_wide, None),
     "merged_cells": (
         uncovered,
         """WITH c AS (SELECT DISTINCT l_orderkey % 97 AS sheet, l_partkey % 30 AS row, l_suppkey % 12 AS col FROM lineitem),
@@ -419,4 +426,5 @@ def _styles_shown(s, d):
     return styles(s, d).select("p_partkey", F.coalesce("size", F.lit(-1)).alias("size0"), F.coalesce("font", F.lit("")).alias("font0"))
 
 
+QUERIES["components_wide"] = (components_wide, QUERIES["components"][1].replace("doc % 8 = 0", "doc % 64 = 0"))
 QUERIES["style_inheritance"] = (_styles_shown, QUERIES["style_inheritance"][1])

@@ -111,7 +111,7 @@ class _Tree(HTMLParser):
         self.root, self.body, self.head = Element("html"), Element("body"), Element("head")
         self.root.children = [self.head, self.body]
         self.open = [self.body]
-        self.in_head = False
+        self.in_head = True  # until an element or text that belongs in the body
 
     def _close(self, names: set[str] | frozenset[str], fences: set[str] | frozenset[str]) -> bool:
         for i in range(len(self.open) - 1, 0, -1):
