@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,7 +210,7 @@ def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            sizes = np.array([0 if x is None else x.as_buffer().size for x in batch.column(1).cast(pa.binary())], np.int64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
             for cut in slices(sizes, CHUNK_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
