@@ -13,11 +13,14 @@ from pagewright.sources.model import Decoded, Hint, Primitive, Warning_
 HINTED_SHARE = 0.8
 
 #: Sureness of what is found.
-SURE = {"heading": 0.8, "heading_caps": 0.72, "heading_bold": 0.71, "heading_plain": 0.5, "list": 0.75, "paragraph": 0.7, "lattice": 0.85}
+SURE = {"heading": 0.8, "heading_caps": 0.72, "heading_bold": 0.71, "heading_plain": 0.5, "list": 0.75, "paragraph": 0.7, "lattice": 0.85, "stream": 0.65}
 
 #: Tolerance of ruling lines, in pages, and shortest line that counts.
 SNAP, SHORTEST = 0.004, 0.01
 
+#: How far from its column's edge a text of a table without rules may begin, in pages.
+ALIGNED = 0.02
+
 _BULLET = re.compile(t.LIST_BULLET)
 _ORDERED = re.compile(t.LIST_ORDERED)
 
@@ -60,6 +63,47 @@ def reading_order(texts: list[Primitive]) -> list[Primitive]:
     return [p for i in range(len(columns)) for line in lines_of(split[i]) for p in line]
 
 
+def nearest_order(boxes: list[Primitive], flow: float = 0.5) -> list[Primitive]:
+    """A chain from the top left: each time the box nearest to the last, by a distance that weighs down against across.
+
+    flow runs from -1, where only the way across counts, to 1, where only the way down does. Ties go to the upper, then the
+    left box.
+    """
+    rest = sorted(boxes, key=lambda p: (p.y, p.x))
+    out: list[Primitive] = []
+    down, across = (1 + flow) / 2, (1 - flow) / 2
+    while rest:
+        last = out[-1] if out else None
+
+        def far(p: Primitive, last: Primitive | None = last) -> tuple:
+            dx, dy = (abs(p.x - last.x), abs(p.y - last.y)) if last else (p.x, p.y)
+            return down * dy + across * dx, p.y, p.x
+
+        out.append(rest.pop(min(range(len(rest)), key=lambda i: far(rest[i]))))
+    return out
+
+
+def stream_tables(lines: list[list[Primitive]]) -> list[tuple[list[list[Primitive]], list[float]]]:
+    """Tables without rules: runs of at least three lines of as many texts each, two or more, that stand below each other.
+
+    Returns the lines of each and the left edges of its columns; a run of which under 30 % of the cells are filled, or whose
+    texts are aligned in under 60 % of the places, is none.
+    """
+    out = []
+    run: list[list[Primitive]] = []
+    for line in [*lines, []]:
+        if run and len(line) == len(run[-1]):
+            run.append(line)
+            continue
+        if len(run) >= 3 and len(run[0]) >= 2:
+            edges = [min(p.x for p in column) for column in zip(*run)]
+            near = sum(abs(p.x - e) <= ALIGNED for x in run for p, e in zip(x, edges))
+            if near >= 0.6 * len(run) * len(edges):
+                out.append((run, edges))
+        run = [line] if len(line) >= 2 else []
+    return out
+
+
 def _grid(values: list[float]) -> list[float]:
     out: list[list[float]] = []
     for v in sorted(values):
@@ -103,13 +147,18 @@ def _cell(edges: list[float], at: float) -> int | None:
     return next((i for i, (a, b) in enumerate(zip(edges, edges[1:])) if a - SNAP <= at <= b + SNAP), None)
 
 
-def _tables(page: list[Primitive]) -> None:
+def find_tables(page: list[Primitive], body: float, levels: dict[float, int]) -> None:
+    """Cells of ruled tables, then of those that only their alignment shows."""
     texts = [p for p in page if p.kind == "text" and not p.hints]
     for rows, cols in lattice([p for p in page if p.kind == "line"]):
         for p in texts:
             r, c = _cell(rows, p.y + p.height / 2), _cell(cols, p.x + p.width / 2)
             if r is not None and c is not None:
                 p.hints.insert(0, Hint("table_cell", row=r, col=c, rowspan=1, colspan=1, confidence=SURE["lattice"], detector="table"))
+    for run, _ in stream_tables(lines_of([p for p in texts if not p.hints])):
+        for r, line in enumerate(run):
+            for c, p in enumerate(line):
+                p.hints.append(Hint("table_cell", row=r, col=c, rowspan=1, colspan=1, confidence=SURE["stream"], detector="table"))
 
 
 def _sound(text: str) -> bool:
@@ -117,6 +166,11 @@ def _sound(text: str) -> bool:
     return 0 < n <= 100 and not re.search(r"[?!]$|(?:^|[^0-9])\.$", text.strip()) and not (n > 50 and "," in text)
 
 
+#: What looks at the texts of a page that its format says little about, in this order: each gets the page's primitives, the
+#: body size and the heading levels by size, and puts hints on primitives that have none. More can be added.
+DETECTORS: list = []
+
+
 def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
     """The primitives in reading order, with hints where their format gave none, and what was guessed.
 
@@ -146,8 +200,8 @@ def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
             links = {id(p): p.hints for p in texts}
             for p in texts:
                 p.hints = []
-            _tables(page)
-            _plain(texts, body, levels)
+            for detect in DETECTORS:
+                detect(page, body, levels)
             for p in texts:
                 p.hints += links[id(p)]
             warnings.append(Warning_("heuristic_inference", "structure is read from the layout", number))
@@ -155,11 +209,13 @@ def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
     return out, warnings
 
 
-def _plain(texts: list[Primitive], body: float, levels: dict[float, int]) -> None:
-    lines = lines_of([p for p in texts if not p.hints])
+def find_blocks(page: list[Primitive], body: float, levels: dict[float, int]) -> None:
+    """Page numbers, list items, headings by size, capitals or weight, and the first lines of paragraphs."""
+    lines = lines_of([p for p in page if p.kind == "text" and not p.hints])
     gaps = [b[0].y - (a[0].y + a[0].height) for a, b in zip(lines, lines[1:])]
     positive = [g for g in gaps if g > 0]
     wide = 1.5 * statistics.median(positive) if positive else 0.0
+    other = False  # whether the line before is of another kind
     for i, line in enumerate(lines):
         first = line[0]
         text = " ".join(p.content or "" for p in line).strip()
@@ -176,9 +232,16 @@ def _plain(texts: list[Primitive], body: float, levels: dict[float, int]) -> Non
             hint = Hint("heading", level=levels[size], confidence=SURE["heading"] if bold else SURE["heading_plain"], detector="heading")
         elif bold and text.isupper() and _sound(text) and len(text) > 1:
             hint = Hint("heading", level=min(len(set(levels.values())) + 1, 6), confidence=SURE["heading_caps"], detector="heading")
-        if hint is None and (i == 0 or gaps[i - 1] > wide):
+        elif bold and not first.is_italic and size == body and 1 < len(text.split()) <= 8 and _sound(text) and text[:1].isupper() and len(lines) > 1:
+            hint = Hint("heading", level=min(len(set(levels.values())) + 2, 6), confidence=SURE["heading_bold"], detector="heading")
+        begins = i == 0 or gaps[i - 1] > wide or other
+        other = hint is not None
+        if hint is None and begins:
             hint = Hint("paragraph", confidence=SURE["paragraph"], detector="paragraph")
         if hint is not None:
             for p in line:
                 if hint.kind != "paragraph" or p is first:
                     p.hints.append(hint)
+
+
+DETECTORS += [find_tables, find_blocks]
