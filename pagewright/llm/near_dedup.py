@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import sketches
+from pagewright.llm.arrow import slices, text_parts, tidy
 from pagewright.llm.components import components
-from pagewright.llm.packing import slices
 from pagewright.llm.staging import ROW, stage, stage_rows
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -25,7 +25,7 @@ MARGIN, SAME = 0.175, 72
 BLOCK = 128
 
 #: Rows and pairs that a task holds at once; bytes of text.
-HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 2 << 20
+HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 1 << 20
 
 #: Links, or nodes, of which one task makes a forest.
 FOREST_ROWS = 1 << 19
@@ -34,11 +34,11 @@ FOREST_ROWS = 1 << 19
 def sketch_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """ROW, key, n, s1, s2, sketch: size of each row's set, its identity in 128 bits, and its registers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            for cut in slices(np.array([len(t) for t in texts], np.int64), HELD_BYTES):
-                hashes, bounds = sketches.shingle_sets(texts[cut])
+            for cut, texts in text_parts(batch.column(2), HELD_BYTES):
+                hashes, bounds = sketches.shingle_sets(texts)
                 ids = sketches.set_ids(hashes, bounds).view(np.int64)
                 found = sketches.registers(hashes, bounds)
                 part = batch.slice(cut.start, cut.stop - cut.start)
@@ -124,6 +124,7 @@ def forest_of(links: DataFrame, name: str) -> DataFrame:
     """
     held = stage(links, name)
 
+    @tidy
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
@@ -175,6 +176,7 @@ def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     least = percent / 100 - MARGIN
 
+    @tidy
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = b"".join(batch.column(1).to_pylist())
@@ -189,6 +191,7 @@ def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = shared.select("band", "i", "j", "own", "set_id", "n", "sketch")
     group = ["band", "i", "j"]
 
+    @tidy
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for table in _whole_groups(batches, group):
@@ -219,6 +222,7 @@ def verified_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT)
     placed = placed.select("root", "i", "j", "own", "node", "text")
     group = ["root", "i", "j"]
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, group):
             ends = _bounds_of(table, group)

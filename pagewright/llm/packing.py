@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import slices, text_parts, tidy
 from pagewright.llm.staging import stage
 
 LENGTH, END_ID = 2048, 1
@@ -92,18 +93,6 @@ def tokenizer_for(path: str) -> UnitTokenizer:
     return _TOKENIZERS[path]
 
 
-def slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
-    """Consecutive slices of at most `most` in sum, or of one element."""
-    begin, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield slice(begin, i)
-            begin, held = i, 0
-        held += int(n)
-    if begin < len(sizes):
-        yield slice(begin, len(sizes))
-
-
 def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """part, at, key, n, ids: each document's ids with end_id behind them, and where they begin in their task's stream.
 
@@ -111,16 +100,15 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     """
     kind = docs.schema[key].dataType
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at, units = TaskContext.get().partitionId(), 0, tokenizer_for(tokenizer)
         end = np.array([end_id], units.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = np.array([len(x or "") for x in texts], np.int64)
-            for cut in slices(sizes, HELD_BYTES):
-                ids = [x + end for x in units.encode([x or "" for x in texts[cut]])]
+            for cut, texts in text_parts(batch.column(1), HELD_BYTES):
+                ids = [x + end for x in units.encode([x.decode() for x in texts])]
                 n = np.array([len(x) // units.dtype.itemsize for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -164,11 +152,11 @@ def pack(
     bases = np.cumsum(bases)
     kind = docs.schema[key].dataType
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = tokenizer_for(tokenizer).dtype
         for batch in batches:
-            n = batch.column(3).to_numpy()
-            for part in slices(n * 4, HELD_BYTES):
+            for part in slices(batch.column(3).to_numpy() * 4, HELD_BYTES):
                 some = batch.slice(part.start, part.stop - part.start)
                 n = some.column(3).to_numpy()
                 first = bases[some.column(0).to_numpy()] + some.column(1).to_numpy()

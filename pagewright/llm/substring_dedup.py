@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import slices, tidy
 from pagewright.llm.staging import power_of_two, stage
 
 WINDOW = 35
@@ -202,11 +203,10 @@ def _answered(keys: np.ndarray, answers: list[dict] | None, shift: int) -> np.nd
 def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """chunk, bytes, held: consecutive documents as compressed Arrow streams of (key, text)."""
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from pagewright.llm.packing import slices
-
         number = TaskContext.get().partitionId() << 33
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
@@ -233,6 +233,7 @@ def _open(held: bytes) -> tuple[pa.Array, list[bytes]]:
 
 
 def _each(columns: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

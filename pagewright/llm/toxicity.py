@@ -6,22 +6,22 @@ import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import give_back, text_parts, tidy
 from pagewright.llm.labelled import labelled_sample
 
 #: Lengths in bytes of the n-grams, word edges included; buckets that their hashes fall in; length of a vector.
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 8
 #: Most labelled documents of classes 0 and 1 to learn from, characters of a training row, and most rows of a document.
 #: A longer document gives stretches from a place drawn by its hash on; more than one only while the sample is small.
-MOST_ROWS, ROW_CHARS, ROWS_EACH = (6000, 2000), 1024, 8
+MOST_ROWS, ROW_CHARS, ROWS_EACH = (10_000, 3000), 1024, 8
 #: Passes over the training rows and steps, both at least; rows in a step, the steps' size, and the factor on the mean.
-EPOCHS, STEPS, BATCH, STEP, SCALE = 5, 1000, 64, 0.1, 30.0
+EPOCHS, STEPS, BATCH, STEP, SCALE = 5, 1000, 64, 0.05, 30.0
 #: Bytes of text that are scored at once.
-HELD_BYTES = 2 << 20
+HELD_BYTES = 1 << 20
 
 THRESHOLD = 0.3
 
@@ -103,7 +103,8 @@ class _Batch:
         by_place = np.argsort(place, kind="stable")
         rows, row_starts = np.unique(row, return_index=True)
         place_starts = np.searchsorted(place[by_place], np.arange(len(used)))
-        return cls(used, row, place, share, rows, row_starts, by_place, place_starts)
+        small = lambda x: x.astype(np.int32)
+        return cls(used, small(row), small(place), share, rows, row_starts, small(by_place), place_starts)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
@@ -113,8 +114,8 @@ def train(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, seed: int =
     row counts in the loss.
     """
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-    softmax = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
+    vectors = np.zeros((BUCKETS, WIDTH), np.float32)  # so that an n-gram never met says nothing
+    softmax = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     offset = np.zeros(2, np.float32)
     sums = [np.full_like(x, 1e-6) for x in (vectors, softmax, offset)]
     order = rng.permutation(len(texts))
@@ -160,17 +161,18 @@ def fit_toxicity(
     return train([fold(x) for _, x in rows], toxic, weight)
 
 
+def _scores(model: ToxicityModel, texts: pa.Array) -> pa.Array:
+    parts = [model.scores([fold(t.decode()) for t in part]) for _, part in text_parts(texts, HELD_BYTES)]
+    return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score of every document, 0 to 1, over its whole text; without n-grams the score is that of the offset."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pagewright.llm.packing import slices
-
         for batch in batches:
-            texts = [fold(t.as_py()) for t in batch.column(1)]
-            cuts = slices(np.array([len(t) for t in texts], np.int64), HELD_BYTES)
-            scores = np.concatenate([np.zeros(0), *[model.scores(texts[c]) for c in cuts]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _scores(model, batch.column(1))], [key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string").alias("_pw_text")).mapInArrow(run, f"`{key}` {kind}, score double")
@@ -182,12 +184,10 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     Only the text column goes to Python. Null and empty texts get the score of the offset alone.
     """
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        from pagewright.llm.packing import slices
-
-        held = [fold(t) for t in texts]
-        cuts = slices(np.array([len(t) for t in held], np.int64), HELD_BYTES)
-        return pd.Series(np.concatenate([np.zeros(0), *[model.scores(held[c]) for c in cuts]]))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        made = _scores(model, texts)
+        give_back()
+        return made
 
     return docs.filter(score(F.col(text).cast("string")) < threshold)
