@@ -17,8 +17,8 @@ from pagewright.llm.labelled import labelled_sample
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 8
 #: Most labelled documents of classes 0 and 1 to learn from, characters of a training row, and most rows of a document.
 #: A longer document gives stretches from a place drawn by its hash on; more than one only while the sample is small.
-MOST_ROWS, ROW_CHARS, ROWS_EACH = (10_000, 3000), 1024, 8
-#: Passes over the training rows and steps, both at least; rows in a step, the steps' size, and the factor on the mean.
+MOST_ROWS, ROW_CHARS, ROWS_EACH = (8000, 2500), 1024, 8
+#: Passes over the training rows and steps, both at least; rows in a step (up to 256), the steps' size, and the factor on the mean.
 EPOCHS, STEPS, BATCH, STEP, SCALE = 5, 1000, 64, 0.05, 30.0
 #: Bytes of text that are scored at once.
 HELD_BYTES = 1 << 20
@@ -104,7 +104,7 @@ class _Batch:
         rows, row_starts = np.unique(row, return_index=True)
         place_starts = np.searchsorted(place[by_place], np.arange(len(used)))
         small = lambda x: x.astype(np.int32)
-        return cls(used, small(row), small(place), share, rows, row_starts, small(by_place), place_starts)
+        return cls(small(used), row.astype(np.uint8), small(place), share, rows, row_starts, small(by_place), place_starts)
 
 
 def train(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
@@ -158,7 +158,9 @@ def fit_toxicity(
     toxic = np.array([c for c, _ in rows], float)
     counts = {c: float((toxic == c).sum()) for c in (0, 1)}
     weight = np.array([shares.get(c, 0) / max(counts[c], 1) for c, _ in rows], float)
-    return train([fold(x) for _, x in rows], toxic, weight)
+    model = train([fold(x) for _, x in rows], toxic, weight)
+    give_back()
+    return model
 
 
 def _scores(model: ToxicityModel, texts: pa.Array) -> pa.Array:
