@@ -22,7 +22,7 @@ PERCENT = 85
 MARGIN, SAME = 0.175, 72
 
 #: Most members of a group, of one band key or one candidate component, that meet the members of another such block.
-BLOCK = 128
+BLOCK = 256
 
 #: Rows and pairs that a task holds at once; bytes of text.
 HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 1 << 20
