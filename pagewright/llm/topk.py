@@ -95,16 +95,24 @@ def accumulate(query: tuple, rows: tuple) -> np.ndarray:
     return np.clip(scores, _LEAST, _MOST).astype(np.int64) if wide else scores
 
 
+def best_of_ids(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """scores and ids with one column for each id: rows that repeat an id count once, with their best score."""
+    each = np.unique(ids)
+    if len(each) == len(ids):
+        return scores, ids
+    order = np.argsort(ids, kind="stable")
+    return np.maximum.reduceat(scores[:, order], np.searchsorted(ids[order], each), axis=1), each
+
+
 def select(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query: partition at the k-th score, then order by score and id; `own` takes no part."""
+    """The k best of one query, of ids that differ: partition at the k-th score, then order by score and id; `own` takes
+    no part."""
     use = np.flatnonzero(ids != own)
     if len(use) > k:
         least = np.partition(scores[use], len(use) - k)[len(use) - k]
         use = use[scores[use] >= least]
-    order = use[np.lexsort((ids[use], ~scores[use]))]
-    # Rows that repeat an id count once, with their best score.
-    _, first = np.unique(ids[order], return_index=True)
-    return (best := order[np.sort(first)][:k]), scores[best]
+    best = use[np.lexsort((ids[use], ~scores[use]))][:k]
+    return best, scores[best]
 
 
 def top_k(rows: DataFrame, queries: Column, id_col: str, vector: str, k: int = K, scale: float = SCALE) -> DataFrame:
@@ -130,11 +138,11 @@ def top_k(rows: DataFrame, queries: Column, id_col: str, vector: str, k: int = K
             for pair in range(batch.num_rows):
                 block = {name: batch.column(i)[pair].as_py() for i, name in enumerate(batch.schema.names)}
                 query, rows_ = _postings(block, "q"), _postings(block, "r")
-                scores = accumulate(query, rows_)
+                scores, ids = best_of_ids(accumulate(query, rows_), rows_[0])
                 for q, own in enumerate(query[0].tolist()):
-                    at, found = select(scores[q], rows_[0], own, k)
+                    at, found = select(scores[q], ids, own, k)
                     held: dict[int, int] = {}
-                    for score, key in [*best.get(own, ()), *zip(found.tolist(), rows_[0][at].tolist())]:
+                    for score, key in [*best.get(own, ()), *zip(found.tolist(), ids[at].tolist())]:
                         held[key] = max(score, held.get(key, score))
                     best[own] = sorted(((s, i) for i, s in held.items()), key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) * k > 1 << 18:

@@ -160,6 +160,13 @@ def test_top_k_is_that_of_brute_force(spark, monkeypatch, block):
     assert top_k(docs.limit(0), F.col("vec_id") % 10 == 0, "vec_id", "e").count() == 0
 
 
+def test_top_k_of_ids_that_many_rows_repeat(spark):
+    rows = [(0, [1.0])] + [(1, [9.0])] * 10 + [(1, [3.0])] + [(2, [5.0])] * 4 + [(3, [4.0]), (4, [2.0]), (5, [4.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, e array<double>").coalesce(1)
+    got = {(r.query_id, r["rank"], r.id, r.score) for r in top_k(docs, F.col("vec_id") % 10 == 0, "vec_id", "e", 3).collect()}
+    assert len(got) == 3 and got == brute_top_k(rows, 3)
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 2, "user", "?"),
