@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.exact_dedup import drop_exact_copies
 from pagewright.llm.mixing import mix, training_order
 from pagewright.llm.near_dedup import drop_near_copies
-from pagewright.llm.packing import pack
+from pagewright.llm.packing import file_order, pack
 from pagewright.llm.queries import TOKENIZER, table
 from pagewright.llm.staging import stage
 from pagewright.llm.toxicity import drop_toxic, fit_toxicity
@@ -35,8 +35,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, with their ids."""
-    return pack(docs, TOKENIZER)
+    """Pieces of sequences of 2048 tokens, with their ids; sequences follow the order in which the mix was written."""
+    return pack(docs, TOKENIZER, order=file_order())
 
 
 STAGES = [

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import slices, text_parts, tidy
@@ -93,12 +93,32 @@ def tokenizer_for(path: str) -> UnitTokenizer:
     return _TOKENIZERS[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """part, at, key, n, ids: each document's ids with end_id behind them, and where they begin in their task's stream.
+def file_order() -> list[Column]:
+    """The order of a table's part files and of the blocks of a file, for tables as Spark wrote and reads them.
+
+    Spark deals files to tasks by length. The numbers of part files have more digits where there are many of them, so a
+    longer name comes later.
+    """
+    path = F.col("_metadata.file_path")
+    return [F.length(path), path, F.col("_metadata.file_block_start")]
+
+
+def tokenize(
+    docs: DataFrame,
+    tokenizer: str,
+    key: str = "doc_id",
+    text: str = "text",
+    end_id: int = END_ID,
+    order: Sequence[Column] = (),
+) -> DataFrame:
+    """part, at, key, n, ids, run: each document's ids with end_id behind them, where they begin in their task's stream,
+    and the values of `order`.
 
     Null and empty texts have the one id end_id.
     """
     kind = docs.schema[key].dataType
+    run = F.struct(F.lit(0).alias("_0"), *[c.alias(f"_{i}") for i, c in enumerate(order, 1)])
+    rows = docs.select(key, F.col(text).cast("string").alias("_pw_text"), run.alias("run"))
 
     @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +139,13 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
                         batch.column(0).slice(cut.start, cut.stop - cut.start),
                         pa.array(n),
                         pa.array(ids, pa.binary()),
+                        batch.column(2).slice(cut.start, cut.stop - cut.start),
                     ],
-                    ["part", "at", key, "n", "ids"],
+                    ["part", "at", key, "n", "ids", "run"],
                 )
 
-    named = f"part int, at long, `{key}` {kind.simpleString()}, n long, ids binary"
-    return docs.select(key, F.col(text).cast("string").alias("_pw_text")).mapInArrow(encode, named)
+    named = f"part int, at long, `{key}` {kind.simpleString()}, n long, ids binary, run {rows.schema['run'].dataType.simpleString()}"
+    return rows.mapInArrow(encode, named)
 
 
 def pack(
@@ -134,6 +155,7 @@ def pack(
     text: str = "text",
     length: int = LENGTH,
     end_id: int = END_ID,
+    order: Sequence[Column] = (),
 ) -> DataFrame:
     """Pieces of documents in sequences of `length` ids; only the last sequence of all can be short.
 
@@ -141,15 +163,23 @@ def pack(
     total for each task and makes their prefix sums, which give each stream its place in the whole. Second pass: windows of
     `length` ids cut the streams; a document across a window's edge gives one record on either side, and a window across
     two streams needs no exchange, as its number and offsets follow from the global place alone.
+    order: columns by which runs of a task's rows are put in the whole, such as file_order(); rows of equal values must
+    be together in one task, and keep their order. The driver then holds one total for each run.
     Returns key, start, length, doc_tokens, sequence_id, offset, continued, continues, ids (little-endian 32-bit).
     Null and empty texts are the single id end_id; repeated rows are packed each; an empty table gives no rows.
     """
-    streams = stage(tokenize(docs, tokenizer, key, text, end_id), "tokens")
-    totals = streams.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n")).collect()
-    bases = np.zeros(max([r.part for r in totals], default=0) + 2, np.int64)
-    for r in totals:
-        bases[r.part + 1] = r.n
+    streams = stage(tokenize(docs, tokenizer, key, text, end_id, order), "tokens")
+    runs = streams.groupBy("run", "part").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end")).collect()
+    bases = np.zeros(max([r.part for r in runs], default=0) + 2, np.int64)
+    for r in runs:
+        bases[r.part + 1] = max(bases[r.part + 1], r.end)
     bases = np.cumsum(bases)
+    runs.sort(key=lambda r: (tuple(r.run), r.part))
+    begins = np.array([bases[r.part] + r.at for r in runs], np.int64)
+    sizes = np.array([r.end - r.at for r in runs], np.int64)
+    by_begin = np.argsort(begins)
+    moves = (np.cumsum(sizes) - sizes - begins)[by_begin]  # from the streams one after another to the runs in order
+    begins = begins[by_begin]
     kind = docs.schema[key].dataType
 
     @tidy
@@ -160,6 +190,7 @@ def pack(
                 some = batch.slice(part.start, part.stop - part.start)
                 n = some.column(3).to_numpy()
                 first = bases[some.column(0).to_numpy()] + some.column(1).to_numpy()
+                first = first + moves[np.searchsorted(begins, first, "right") - 1]
                 windows = (first + n - 1) // length - first // length + 1
                 doc = np.repeat(np.arange(len(n)), windows)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -184,7 +215,7 @@ def pack(
                     [key, "start", "length", "doc_tokens", "sequence_id", "offset", "continued", "continues", "ids"],
                 )
 
-    return streams.mapInArrow(
+    return streams.drop("run").mapInArrow(
         cut,
         f"`{key}` {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, "
         "continued boolean, continues boolean, ids binary",

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pagewright.llm import sharding
 from pagewright.llm.mixing import mix, training_order
 from pagewright.llm.packing import UnitTokenizer, assemble, pack
@@ -59,6 +60,28 @@ def test_packing_is_a_round_trip(spark):
     assert pack(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_sequences_follow_the_mix_over_several_files(spark, small, tmp_path):
+    rows = [(i, "abc"[i % 3], " ".join([f"w{i}"] * (i % 40 + 1))) for i in range(3000)]
+    mixed = mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    path, times = f"{tmp_path}/mixing", defaultdict(list)
+    for r in mixed.collect():
+        times[r.doc_id] += r.positions
+    # A file for each range of time, the later ones with more rows, as Spark reads long files first.
+    at = mixed.withColumn("_at", F.explode("positions")).withColumn("_file", F.floor(5 * F.col("_at") ** 0.5).cast("int"))
+    for f in range(6):
+        some = at.filter(F.col("_file") == f).orderBy("_at").select("doc_id", "source", "text").coalesce(1)
+        some.write.parquet(f"{path}-{f}")
+        (part,) = (tmp_path / f"mixing-{f}").glob("part-*.parquet")
+        (tmp_path / "mixing").mkdir(exist_ok=True)
+        part.rename(tmp_path / f"mixing/part-{f:05d}-x.parquet")
+    pieces = corpus_pipeline.packing(spark, spark.read.parquet(path), small).filter("start = 0").collect()
+    pieces.sort(key=lambda r: (r.sequence_id, r.offset))
+    assert len(pieces) == sum(map(len, times.values())) and pieces[-1].sequence_id > 10
+    left = {i: sorted(x, reverse=True) for i, x in times.items()}
+    found = [left[r.doc_id].pop() for r in pieces]
+    assert found == sorted(found)
+
+
 @pytest.mark.parametrize("cell_rows", [3, 16_384])
 def test_shards_have_exact_sizes_and_keep_all_rows(spark, cell_rows):
     rows = [(i % 70 if i % 9 else None, "t" * (i % 5), i, i) for i in range(203)]
