@@ -88,33 +88,35 @@ def fit_quality(
 ) -> QualityModel:
     """Dictionaries from one half of a bounded labelled sample, the calibration from the other half.
 
-    per_class bounds the documents of each class; at most PIECES pieces of each, spread over all of a document, come to
-    the driver, and of the other half one number for each document. The classes keep their true shares in calibration.
+    per_class bounds the documents of each class. Of each class at most PIECES pieces come to the driver, drawn by a hash
+    of document and place from all pieces of its whole texts, so that every place has the same chance; and of the other
+    half one number for each document. The classes keep their true shares in calibration.
     """
     sample = labelled_sample(docs, labels, label, learn, (per_class, per_class)).withColumn(
         "half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     )
     shares = {r["label"]: r["n"] for r in labels.filter(learn).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect() if r["label"] in (0, 1)}
-    teach = sample.filter("half = 0")
-    seen = {r["label"]: r["n"] for r in teach.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    each = {c: max(1, PIECES // n) for c, n in seen.items()}
+    teach = sample.filter("half = 0").select(F.col("label").cast("int"), F.xxhash64("doc_id", F.lit("piece")).alias("seed"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, kinds = [], []
-            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
-                starts = range(0, max(len(data), 1), PIECE)
-                for i in starts[:: max(1, -(-len(starts) // each[kind]))]:
-                    out.append(data[i : i + PIECE])
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], ["label", "piece"])
-
-    pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    found = teach.select(F.col("label").cast("int"), "text").mapInArrow(cut, "label int, piece binary")
-    for r in found.orderBy("label", F.xxhash64("piece"), "piece").collect():
-        if len(pieces[r.label]) < PIECES and len(r.piece) >= 8:
-            pieces[r.label].append(bytes(r.piece))
+            for kind, seed, text in zip(*(batch.column(i) for i in range(3))):
+                data = text.as_py().encode()
+                starts = [i for i in range(0, len(data), PIECE) if len(data) - i >= 8]
+                n = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind.as_py()] * n, pa.int32()),
+                        pa.array([seed.as_py()] * n, pa.int64()),
+                        pa.array(starts, pa.int64()),
+                        pa.array([data[i : i + PIECE] for i in starts], pa.binary()),
+                    ],
+                    ["label", "seed", "at", "piece"],
+                )
+
+    found = teach.mapInArrow(cut, "label int, seed long, at long, piece binary")
+    drawn = lambda c: found.filter(F.col("label") == c).orderBy(F.xxhash64("seed", "at"), "seed", "at").limit(PIECES)
+    pieces = {c: [bytes(r.piece) for r in drawn(c).select("piece").collect()] for c in (0, 1)}
     good, bad = (train_dictionary(pieces[c]) for c in (1, 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

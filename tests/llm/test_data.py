@@ -227,6 +227,20 @@ def test_quality_is_learned(spark):
     assert np.mean([(got[i] >= 0.5) == y for i, y in truth.items() if i % 2]) > 0.95
 
 
+def test_quality_is_learned_behind_a_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr("pagewright.llm.quality.PIECES", 60)
+
+    def make(rng, i):
+        text = good_text(rng, 120)
+        return "same words to begin with " * 11 + (text if i % 3 else "!! ".join(text.upper().split())), int(i % 3 > 0)
+
+    docs, labels, truth = labelled(spark, 400, make)
+    model = fit_quality(docs, labels, F.col("doc_id") % 2 == 0)
+    assert b"THE" in model.bad and b"THE" not in model.good and b"the" in model.good
+    got = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, y in truth.items() if i % 2]) > 0.95
+
+
 def test_quality_without_labels_of_both_kinds(spark):
     docs, labels, _ = labelled(spark, 20, lambda rng, i: (good_text(rng, 20), 1))
     for given in (labels.filter("quality = 1"), labels.limit(0)):
