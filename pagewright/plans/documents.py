@@ -28,7 +28,7 @@ def _conversations(s, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     held = read(s, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
     clean = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    rows = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<tr><td>"), t["role"], F.lit("<td colspan=2>"), clean(F.substring(t["text"], 1, 60)))), "")
+    rows = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<tr><td>"), t["role"], F.lit("<td colspan=2>"), clean(t["text"]))), "")
     items = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<li>"), t["role"])), "")
     html = F.concat(
         F.lit("<html><body><section aria-label=s><h1>Conversation "), F.col("conv_id"), F.lit("</h1><table><tr><th>role<th>a<th>b"), rows,

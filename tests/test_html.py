@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pagewright.operators.assemble import assemble, flatten
 from pagewright.operators.render import render
+from pagewright.plans import documents
 from pagewright.sources import html
 from pagewright.sources.decode import PARTS, decode_one
 
@@ -76,3 +77,13 @@ def test_a_broken_document_is_a_row_with_an_error():
     assert r["error"].startswith("not UTF-8") and r["nodes"] is None
     assert decode_one(b"x", None, ["text"])["error"] and decode_one(None, "html", ["text"])["error"]
     assert decode_one(b"", "html", ["text"]) == {"error": None, "format": "html", "text": ""}
+
+
+def test_conversation_pages_hold_whole_turns(spark, tmp_path):
+    late = " " * 60 + "late & <b> " + "x" * 90 + " end"
+    rows = [(1, 0, "user", late), (1, 1, "assistant", " "), (1, 2, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = documents._conversations(spark, str(tmp_path))
+    texts = {r.row: r.text for r in made.cells().filter("col = 1 and row > 0").collect()}
+    assert texts[1] == late.strip() and texts[3] == "short"
+    assert documents.QUERIES["html_tables"][0](spark, str(tmp_path)).first().n_cells == 3 + 3 + 2
