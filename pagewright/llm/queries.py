@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +19,8 @@ from pagewright.llm.substring_dedup import remove_repeats
 from pagewright.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from pagewright.llm.topk import top_k
 
-#: The tokenizer files lie outside the repository; another folder can be named in the environment.
-TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "byte_bpe_50k.json")
+#: The tokenizer file lies outside the repository.
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

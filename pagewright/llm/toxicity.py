@@ -15,17 +15,17 @@ from pagewright.llm.labelled import labelled_sample
 
 #: Lengths in bytes of the n-grams, word edges included; buckets that their hashes fall in; length of a vector.
 LENGTHS, BUCKETS, WIDTH = (3, 4, 5), 1 << 17, 8
-#: Most labelled documents of classes 0 and 1 to learn from, characters of a training row, and most rows of a document.
-#: A longer document gives stretches from a place drawn by its hash on; more than one only while the sample is small.
-MOST_ROWS, ROW_CHARS, ROWS_EACH = (8000, 2500), 1024, 8
-#: Passes over the training rows and steps, both at least; rows in a step (up to 256), the steps' size, and the factor on the mean.
-EPOCHS, STEPS, BATCH, STEP, SCALE = 5, 1000, 64, 0.05, 30.0
-#: Bytes of text that are scored at once.
+#: Most labelled documents of classes 0 and 1 to learn from; each teaches with its whole text.
+MOST_ROWS = (10_000, 3_000)
+#: An n-gram of fewer of these documents has no vector. One of the share p of all n-grams counts RARE / (RARE + p) in a mean.
+MIN_DOCS, RARE = 5, 1e-5
+#: Passes over the training rows, rows in a step, and size of the first step; steps shrink to 0.
+EPOCHS, BATCH, STEP = 20, 64, 8.0
+#: Bytes of text that are worked on at once; a longer text is cut at white space, a word that is longer at this length.
 HELD_BYTES = 1 << 20
 
 THRESHOLD = 0.3
 
-_EDGE = np.uint8(32)
 #: ASCII bytes that are no letter or digit become word edges; other bytes stay.
 _FOLD = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
@@ -36,7 +36,7 @@ def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     texts lie one behind another, each between two edges; text k begins at the sum of the lengths before it plus 2k.
     """
     data = _FOLD[np.frombuffer(b"".join(b" " + t + b" " for t in texts), np.uint8)]
-    edge = data == _EDGE
+    edge = data == 32
     wide = data.astype(np.uint32)
     code, inner = wide.copy(), np.ones(len(data), bool)
     for n in range(2, max(LENGTHS) + 1):
@@ -52,14 +52,32 @@ def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, (mixed * np.uint32(2246822519) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def bounds(texts: list[bytes]) -> np.ndarray:
-    return np.cumsum([0, *[len(t) + 2 for t in texts]])
-
-
 def fold(text: str | None) -> bytes:
     return (text or "").lower().encode()
 
 
+def cut(text: bytes, most: int = HELD_BYTES) -> Iterator[bytes]:
+    """text in pieces of at most `most` bytes that end before a space, so that no n-gram of a shorter word is lost."""
+    while len(text) > most:
+        at = text.rfind(b" ", 1, most + 1)
+        at = at if at > 0 else most
+        yield text[:at]
+        text = text[at:]
+    yield text
+
+
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's n-grams in order, and how often each comes."""
+    total = np.zeros(BUCKETS, np.int64)
+    found = [b for piece in cut(text) for _, b in subwords([piece])]
+    if sum(map(len, found)) < BUCKETS:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    for b in found:
+        total += np.bincount(b, minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    return used, total[used]
+
+
 @dataclasses.dataclass(frozen=True)
 class ToxicityModel:
     """What scoring needs of vectors and softmax: as the mean is linear, one number for each bucket, and an offset."""
@@ -68,97 +86,128 @@ class ToxicityModel:
     offset: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        ends = bounds(texts)
+        pieces = [(k, p) for k, t in enumerate(texts) for p in cut(t)]
+        owner = np.array([k for k, _ in pieces], np.int64)
+        ends = np.cumsum([0, *[len(p) + 2 for _, p in pieces]])
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
-        for at, bucket in subwords(texts):
+        for at, bucket in subwords([p for _, p in pieces]):
             sums = np.concatenate([[0.0], np.cumsum(self.weights[bucket], dtype=np.float64)])
             cuts = np.searchsorted(at, ends)
-            total += sums[cuts[1:]] - sums[cuts[:-1]]
-            count += np.diff(cuts)
+            np.add.at(total, owner, sums[cuts[1:]] - sums[cuts[:-1]])
+            np.add.at(count, owner, np.diff(cuts))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.offset, -40, 40)))
 
 
 @dataclasses.dataclass
-class _Batch:
-    """The n-grams of some training rows as (row, place in used, share of the row), by row and by place."""
-
-    used: np.ndarray
-    row: np.ndarray
-    place: np.ndarray
-    share: np.ndarray
-    rows: np.ndarray
-    row_starts: np.ndarray
-    by_place: np.ndarray
-    place_starts: np.ndarray
+class Bags:
+    """The n-grams of all training rows, row after row: bucket and times of each, and where rows begin."""
+
+    buckets: np.ndarray
+    times: np.ndarray
+    starts: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes]) -> _Batch:
-        ends, pairs = bounds(texts), [np.zeros(0, np.int64)]
-        for at, bucket in subwords(texts):
-            pairs.append((np.searchsorted(ends, at, side="right") - 1) * BUCKETS + bucket)
-        keys, times = np.unique(np.concatenate(pairs), return_counts=True)
-        row, bucket = keys // BUCKETS, keys % BUCKETS
-        share = (times / np.maximum(np.bincount(row, times, len(texts)), 1)[row]).astype(np.float32)[:, None]
-        used, place = np.unique(bucket, return_inverse=True)
-        by_place = np.argsort(place, kind="stable")
-        rows, row_starts = np.unique(row, return_index=True)
-        place_starts = np.searchsorted(place[by_place], np.arange(len(used)))
-        small = lambda x: x.astype(np.int32)
-        return cls(small(used), row.astype(np.uint8), small(place), share, rows, row_starts, small(by_place), place_starts)
-
-
-def train(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Vectors of all buckets and the softmax over two classes, trained together by adaptive gradient steps.
-
-    A row's input is the mean of its n-grams' vectors, times SCALE as few of them tell anything. weight: how much each
-    row counts in the loss.
+    def of(cls, texts: list[bytes]) -> Bags:
+        held = [bag(t) for t in texts]
+        starts = np.cumsum([0, *[len(b) for b, _ in held]])
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.uint32) for x in zip(*held)] if held else [np.zeros(0, np.uint32)] * 2
+        return cls(*flat, starts)
+
+
+def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
+    """Vectors of all buckets and the softmax over two classes, trained together by plain gradient steps.
+
+    A row's input is the mean of its n-grams' vectors, rare n-grams counting more. Plain steps move a vector by how many
+    rows ask for it, so what many toxic rows share is learned before what one of them has. weight: how much each row
+    counts in the loss. With two classes all that a bucket gives a row's logits is its vector times the difference of
+    the softmax's columns, so a step needs one number for each n-gram and none of its width.
     """
+    n = len(toxic)
     rng = np.random.default_rng(seed)
-    vectors = np.zeros((BUCKETS, WIDTH), np.float32)  # so that an n-gram never met says nothing
-    softmax = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
-    offset = np.zeros(2, np.float32)
-    sums = [np.full_like(x, 1e-6) for x in (vectors, softmax, offset)]
-    order = rng.permutation(len(texts))
-    groups = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
-    batches = [_Batch.of([texts[i] for i in g]) for g in groups]
-    target = np.c_[1 - toxic, toxic].astype(np.float32)
-    part = (weight / max(weight.mean(), 1e-9) / BATCH)[:, None].astype(np.float32) if len(texts) else None
-    for _ in range(max(EPOCHS, -(-STEPS // max(len(groups), 1)))):
-        for k in rng.permutation(len(groups)):
-            b, g = batches[k], groups[k]
-            mean = np.zeros((len(g), WIDTH), np.float32)
-            if len(b.rows):
-                mean[b.rows] = np.add.reduceat(vectors[b.used][b.place] * b.share, b.row_starts, axis=0) * SCALE
-            z = mean @ softmax + offset
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            error = (p / p.sum(axis=1, keepdims=True) - target[g]) * part[g]
-            slopes = [mean.T @ error, error.sum(axis=0)]
-            if len(b.rows):
-                back = (error @ softmax.T * SCALE)[b.row[b.by_place]] * b.share[b.by_place]
-                slope = np.add.reduceat(back, b.place_starts, axis=0)
-                sums[0][b.used] += slope * slope
-                vectors[b.used] -= STEP * slope / np.sqrt(sums[0][b.used])
-            for value, slope, held in zip((softmax, offset), slopes, sums[1:]):
-                held += slope * slope
-                value -= STEP * slope / np.sqrt(held)
-    return ToxicityModel(vectors @ (softmax[:, 1] - softmax[:, 0]) * SCALE, float(offset[1] - offset[0]))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(bags.starts))
+    total = np.bincount(rows, bags.times, n)
+    share = np.bincount(bags.buckets, bags.times, BUCKETS) / max(total.sum(), 1)
+    factor = np.where(np.bincount(bags.buckets, minlength=BUCKETS) >= MIN_DOCS, RARE / (RARE + share), 0.0)
+    known = np.flatnonzero(factor)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    use = np.flatnonzero(factor[bags.buckets])
+    rows = rows[use]
+    part = (factor[bags.buckets[use]] * bags.times[use] / total[rows]).astype(np.float32)
+    norms = np.sqrt(np.bincount(rows, part.astype(float) ** 2, n))
+    scale = 1 / float(np.median(norms[norms > 0])) if (norms > 0).any() else 1.0
+    part *= np.float32(scale)
+    place = place[bags.buckets[use]]
+    starts = np.searchsorted(rows, np.arange(n + 1))
+    vectors = np.zeros((len(known), WIDTH), np.float32)  # so that an n-gram that tells nothing says nothing
+    softmax, offset = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2)
+    worth = weight / max(weight.mean(), 1e-9) if n else weight
+    for epoch in range(EPOCHS):
+        step = STEP * (1 - epoch / EPOCHS)
+        order = rng.permutation(n)
+        for k in range(0, n, BATCH):
+            group = order[k : k + BATCH]
+            spans = [slice(starts[i], starts[i + 1]) for i in group]
+            at, shares = (np.concatenate([x[s] for s in spans]) for x in (place, part))
+            row = np.repeat(np.arange(len(group)), starts[group + 1] - starts[group])
+            slant = softmax[:, 1] - softmax[:, 0]
+            logit = np.bincount(row, shares * (vectors @ slant)[at], len(group)) + offset[1] - offset[0]
+            error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - toxic[group]) * worth[group] / len(group)
+            pull = np.bincount(at, shares * error[row], len(known)).astype(np.float32)
+            toward = pull @ vectors
+            vectors -= np.float32(step) * pull[:, None] * slant
+            softmax -= np.float32(step * 0.1) * np.stack([-toward, toward], axis=1)
+            offset -= step * 0.1 * error.sum() * np.array([-1.0, 1.0])
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[known] = vectors @ (softmax[:, 1] - softmax[:, 0]) * factor[known] * scale
+    return ToxicityModel(weights, float(offset[1] - offset[0]))
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: tuple[int, int] = MOST_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column,
+    label: str = "toxic",
+    most: tuple[int, int] = MOST_ROWS,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> ToxicityModel:
-    """A model from a bounded sample: most[c] documents of each class c, or parts of them, come to the driver."""
-    sample = labelled_sample(docs, labels, label, learn, most)
+    """A model from the whole texts of a bounded sample: most[c] labelled documents of each class c.
+
+    Executors count the n-grams of the texts; the driver gets six bytes for each different n-gram of a document, of which
+    there are BUCKETS at most however long it is. Labels other than 0 and 1 and null keys teach nothing, a label that is
+    repeated counts once, of texts that share a key the least is taken; null and empty texts teach their label without
+    n-grams. Without labels all scores are 0.5, with those of one class all tend to it. Other columns are not read.
+    """
+    sample = labelled_sample(docs, labels, label, learn, most, key, text)
     shares = {r["label"]: r["n"] for r in labels.filter(learn).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
-    chars = ROW_CHARS * max(1, min(ROWS_EACH, sum(most) // max(sample.count(), 1)))
-    spare = F.greatest(F.length("text") - chars, F.lit(0)) + 1
-    stretch = F.substring("text", F.pmod(F.xxhash64("doc_id"), spare).cast("int") + 1, F.lit(chars))
-    held = sample.select("doc_id", "label", stretch.alias("text")).orderBy("doc_id").collect()
-    rows = [(r.label, r.text[i : i + ROW_CHARS]) for r in held for i in range(0, max(len(r.text), 1), ROW_CHARS)]
-    toxic = np.array([c for c, _ in rows], float)
-    counts = {c: float((toxic == c).sum()) for c in (0, 1)}
-    weight = np.array([shares.get(c, 0) / max(counts[c], 1) for c, _ in rows], float)
-    model = train([fold(x) for _, x in rows], toxic, weight)
+
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut_, texts in text_parts(batch.column(2), HELD_BYTES):
+                some = batch.slice(cut_.start, cut_.stop - cut_.start)
+                held = [bag(fold(t.decode())) for t in texts]
+                buckets = pa.array([b.astype(np.uint32).tobytes() for b, _ in held], pa.binary())
+                times = pa.array([np.minimum(t, 65535).astype(np.uint16).tobytes() for _, t in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), buckets, times], ["place", "label", "buckets", "times"])
+
+    placed = sample.select(F.xxhash64(F.col(key)).alias("place"), F.col("label").cast("int"), F.col("text"))
+    counted = placed.mapInArrow(count, "place long, label int, buckets binary, times binary").toArrow().combine_chunks()
+    order = np.argsort(counted.column("place").to_numpy(), kind="stable")
+    counted = counted.take(order)
+    lengths = np.array([len(x) // 2 for x in counted.column("times").to_pylist()], np.int64)
+    flat = [
+        np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_py(), t) for x in counted.column(c)]])
+        for c, t in (("buckets", np.uint32), ("times", np.uint16))
+    ]
+    toxic = counted.column("label").to_numpy().astype(float)
+    del counted
+    held = {c: float((toxic == c).sum()) for c in (0, 1)}
+    # A class of which the sample holds a part only counts with the weight of the whole.
+    weight = np.array([shares.get(int(c), 0) / max(held[int(c)], 1) for c in toxic], float)
+    model = train(Bags(*flat, np.cumsum([0, *lengths])), toxic, weight)
+    del flat
     give_back()
     return model
 
@@ -169,7 +218,12 @@ def _scores(model: ToxicityModel, texts: pa.Array) -> pa.Array:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of every document, 0 to 1, over its whole text; without n-grams the score is that of the offset."""
+    """key and score of every document, 0 to 1, over its whole text.
+
+    Null and empty texts, and those without n-grams, get the score of the offset. Rows that repeat are scored each, alike;
+    a null key stays null; a very long text is worked through a piece at a time; an empty table gives no rows. Only key
+    and text are read, so no name of another column clashes.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +237,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose whole text scores at the threshold or above; all columns as they came.
 
-    Only the text column goes to Python. Null and empty texts get the score of the offset alone.
+    Only the text column goes to Python. Null and empty texts get the score of the offset alone; rows that repeat stay or
+    go together; an empty table stays empty.
     """
 
     @F.arrow_udf("double")
