@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.staging import stage
+from pagewright.llm.staging import free, stage
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then every edge leads to its component's root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.filter("out > 1 or out > 0 and into > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of the component of each node of the edges (a, b), both long.
 
     Large-star and small-star steps in turn: a node hands its larger neighbours, then its smaller ones, on to the least
-    node that it knows, until nothing changes; that takes about as many turns as the logarithm of the longest path. Each
-    turn is one written table. Least neighbours come from a map-side minimum, and a node with very many neighbours is a
-    skewed side of a join that can be split. Nulls and loops take no part; an empty table gives no rows.
+    node that it knows, until all edges are those of stars; that takes about as many turns as the logarithm of the longest
+    path. Each turn is one written table, and the one before is removed. Least neighbours come from a map-side minimum,
+    and a node with very many neighbours is a skewed side of a join that can be split. Nulls and loops take no part; an
+    empty table gives no rows.
     """
     clean = edges.filter("a is not null and b is not null and a <> b")
     held = stage(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(held):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        held = stage(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+        turned = stage(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        free(held)
+        held = turned
     roots = held.select("v").distinct()
     return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -121,7 +121,9 @@ def exact_groups(rows: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     Rows whose fingerprint no filter counts twice are alone in their group and their texts go no further. The texts of
     the others are grouped by all their bytes; the group is led by its largest key, ties by the smallest row number.
-    Nulls count as empty texts. Returns ROW, key, keep_id, group_size, kept, text_sha256; empty for an empty table.
+    Nulls count as empty texts; a null key is less than any other, and leads only where all are null; rows that repeat are
+    copies of each other; very long texts count whole. Returns ROW, key, keep_id, group_size, kept, text_sha256; empty for
+    an empty table. Only key and text are read, whatever other columns are called.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     narrow = stage(
@@ -144,7 +146,8 @@ def exact_groups(rows: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         F.count("*").alias("texts"), F.max("lead").alias("lead"), F.sum("n").alias("n")
     )
     sound = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
-    groups = groups.select("fp", "sha", "lead", F.coalesce(sound, "n").alias("n"))
+    # Written, so that both sides of the join are plain exchanges and a hot text is a skewed side that can be split.
+    groups = stage(groups.select("fp", "sha", "lead", F.coalesce(sound, "n").alias("n")).filter("n > 1"), "groups")
     found = F.col("n").isNotNull()
     return (
         narrow.join(groups, ["fp", "sha"], "left")
@@ -165,5 +168,5 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id")
     Nulls count as empty texts; rows that are equal in every column count as copies too; an empty table stays empty.
     """
     rows = stage_rows(docs, "documents")
-    dropped = exact_groups(rows, text, key).filter(~F.col("kept")).select(ROW)
+    dropped = stage(exact_groups(rows, text, key).filter(~F.col("kept")).select(ROW), "dropped")
     return rows.join(dropped, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

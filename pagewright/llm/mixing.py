@@ -22,6 +22,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def line_order(key: str, text: str) -> Column:
+    """A hash by which a source's documents stand in its line: of key and text, so that repeated or null keys spread."""
+    return F.md5(F.concat_ws(" ", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+
+
 def _segments(knots: tuple) -> list[tuple]:
     """(demand before, time, length, weight at its start, slope) of each piece; demand is the weight's integral."""
     out, demand = [], 0.0
@@ -84,19 +89,21 @@ def mix(
     source: str = "source",
     text: str = "text",
     size: Column | None = None,
+    order: Column | None = None,
     schedules: tuple = SCHEDULES,
     most: int = MOST_REPEATS,
 ) -> DataFrame:
     """docs with size, source_size, target, taken and positions: how often and when in training each document comes.
 
     size is the number of words of the text unless given. Each source is one line of words, its documents in the order of
-    a hash; the training reads the line from its beginning, again if the target is larger, and stops at the target: at
-    the document whose middle lies behind it. A copy that begins after so many words of demand comes at the time when
-    the integral of the schedule has asked for these. A large source is cut into buckets by the hash: the words of the
-    buckets before come from a small table, those in a bucket from a window over its rows.
+    a hash (line_order() unless given, hexadecimal digits); the training reads the line from its beginning, again if the
+    target is larger, and stops at the target: at the document whose middle lies behind it. A copy that begins after so
+    many words of demand comes at the time when the integral of the schedule has asked for these. A large source is cut
+    into buckets by the hash: the words of the buckets before come from a small table, those in a bucket from a window
+    over its rows. Rows of equal hash stand in the order of all their other columns, so reruns agree.
     Nulls: a null text has no words, a null source is a source of its own, the last; a null key is a key as any other.
-    Documents without words are never taken. Equal rows are taken one by one. An empty table stays empty. Columns of docs
-    that have the name of an added one are replaced.
+    Documents without words are never taken. Equal rows are taken one by one. Texts of any length count whole. An empty
+    table stays empty. Columns of docs that have the name of an added one are replaced; `_pw_` begins no name.
     """
     added = ["size", "source_size", "target", "taken", "positions"]
     kept = [c for c in docs.columns if c not in added]
@@ -105,13 +112,14 @@ def mix(
         (word_count(F.col(text)) if size is None else size.cast("long")).alias("size"),
         F.coalesce(F.col(source), F.lit("")).alias("_pw_name"),
         F.col(source).isNull().alias("_pw_null"),
-        F.xxhash64(F.col(key), F.lit("order")).alias("_pw_order"),
+        (line_order(key, text) if order is None else order).alias("_pw_order"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in kept]).alias("_pw_tie"),
     )
     buckets = max(1, math.isqrt(docs.count()))
     line = ["_pw_null", "_pw_name"]
     place = [*line, "_pw_bucket"]
     # The order is by hash, buckets are its ranges.
-    share = F.shiftrightunsigned("_pw_order", 33).cast("double") / float(1 << 31)
+    share = F.conv(F.substring("_pw_order", 1, 8), 16, 10).cast("double") / float(1 << 32)
     measured = measured.withColumn("_pw_bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("long"))
     parts = measured.groupBy(*place).agg(F.sum("size").alias("size"))
     targets = source_targets(parts.groupBy(*line).agg(F.sum("size").alias("size")), schedules, most)
@@ -121,7 +129,7 @@ def mix(
         .drop("size")
         .join(targets, line)
     )
-    inside = Window.partitionBy(*place).orderBy(F.shiftrightunsigned("_pw_order", 33), "_pw_order", key, "size")
+    inside = Window.partitionBy(*place).orderBy("_pw_order", "size", "_pw_tie")
     rows = measured.withColumn(
         "_pw_begin", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).join(offsets, place)

@@ -34,7 +34,9 @@ def mask(turns: Column) -> Column:
     return F.flatten(runs)
 
 
-def format_preferences(turns: DataFrame, pair: Column, chosen: Column) -> DataFrame:
+def format_preferences(
+    turns: DataFrame, pair: Column, chosen: Column, turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
     """pair_id, n_prompt_turns, prompt, and chosen and rejected completions with their masks, one row for each pair.
 
     turns has a row (turn, role, text) for each turn; `pair` names the pair that it belongs to and `chosen` on which side
@@ -43,12 +45,16 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column) -> DataFr
     Nulls: a null pair or side takes no part, a null role is "none", a null text is empty, a null turn comes first. Turns
     that repeat are rendered as often as they come. A side without turns has an empty completion; a pair of equal sides
     has two. usable tells whether the completions differ and each holds a turn to train on. An empty table gives no rows.
+    Only the three named columns, `pair` and `chosen` are read, whatever others are called. Texts of any length are kept
+    whole; a conversation must fit into a row, as its rendering does.
     """
     held = turns.select(
         pair.alias("pair_id"),
         chosen.alias("chosen"),
         F.struct(
-            F.col("turn"), F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+            F.col(f"`{turn}`").alias("turn"),
+            F.coalesce(F.col(f"`{role}`"), F.lit("none")).alias("role"),
+            F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         ).alias("t"),
     ).filter("pair_id is not null and chosen is not null")
     side = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("t"))))

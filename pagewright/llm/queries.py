@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import exact_groups
 from pagewright.llm.labelled import remainder
-from pagewright.llm.mixing import mix, word_count
+from pagewright.llm.mixing import MOST_REPEATS, line_order, mix, word_count
 from pagewright.llm.near_dedup import near_groups
 from pagewright.llm.packing import pack
 from pagewright.llm.preference import format_preferences
@@ -44,10 +44,31 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, fit_quality(docs, labels, ~held_out)), held_out, 0.5)
 
 
+def judged_pairs(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with side: each conversation as chosen, and as rejected the same conversation up to
+    its last answer, with that of the next conversation in its place.
+
+    The tables hold no judged pairs. Conversations without an answer give no pair; without a next one the rejected answer
+    is empty.
+    """
+    turns = turns.select("conv_id", "turn", "role", "text").filter("conv_id is not null")
+    last = turns.filter("role = 'assistant' and turn is not null").groupBy("conv_id").agg(
+        F.max("turn").alias("last"), F.max_by(F.coalesce("text", F.lit("")), F.struct("turn", "text")).alias("answer")
+    )
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"))
+    ends = last.select("conv_id", "last").join(other, "conv_id", "left")
+    chosen = turns.join(last.select("conv_id", "last"), "conv_id")
+    before = F.coalesce(F.col("turn") < F.col("last"), F.lit(True))
+    sides = F.explode(F.when(before, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    answers = ends.select(
+        "conv_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("other", F.lit("")).alias("text"), F.lit(False).alias("side")
+    )
+    return chosen.select("conv_id", "turn", "role", "text", sides.alias("side")).unionByName(answers)
+
+
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected of pair k: the tables hold no judged pairs."""
-    turns = table(spark, sf_dir, "conversations")
-    pairs = format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    turns = judged_pairs(table(spark, sf_dir, "conversations"))
+    pairs = format_preferences(turns, F.col("conv_id"), F.col("side"))
     runs = lambda c: F.array_join(
         F.transform(c, lambda r: F.concat(F.when(r["train"], "+").otherwise("-"), r["n_chars"].cast("string"))), " "
     )
@@ -55,11 +76,13 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents range-sorted by the training time of their first copy, those that the mix leaves out last."""
     docs = table(spark, sf_dir, "documents")
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
-    mixed = mix(sized, size=F.col("words"))
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), line_order("doc_id", "text").alias("place"))
+    mixed = mix(stage(sized, "sizes"), size=F.col("words"), order=F.col("place"))
+    times = [F.round(F.try_element_at("positions", F.lit(k)), 9).alias(f"position_{k}") for k in range(1, MOST_REPEATS + 1)]
+    return mixed.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last()).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *times
     )
 
 
@@ -132,13 +155,20 @@ ORACLES = {
         FROM s QUALIFY rank <= 10
     """,
     "op3_preference": """
-        WITH s AS (
-            SELECT conv_id // 2 AS pair_id,
-                   list({'role': coalesce(role, 'none'), 'text': coalesce(text, '')} ORDER BY turn, role, text)
-                       FILTER (conv_id % 2 = 0) AS a0,
-                   list({'role': coalesce(role, 'none'), 'text': coalesce(text, '')} ORDER BY turn, role, text)
-                       FILTER (conv_id % 2 = 1) AS b0
-            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id // 2
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, 'none') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), e AS (
+            SELECT conv_id, turn AS last, text AS answer FROM c WHERE role = 'assistant' AND turn IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1
+        ), r AS (
+            SELECT conv_id, turn, role, c.text, true AS side FROM c JOIN e USING (conv_id)
+            UNION ALL SELECT conv_id, turn, role, c.text, false FROM c JOIN e USING (conv_id) WHERE coalesce(turn < last, true)
+            UNION ALL SELECT e.conv_id, e.last, 'assistant', coalesce(o.answer, ''), false FROM e LEFT JOIN e o ON o.conv_id = e.conv_id + 1
+        ), s AS (
+            SELECT conv_id AS pair_id,
+                   list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (side) AS a0,
+                   list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) FILTER (NOT side) AS b0
+            FROM r GROUP BY conv_id
         ), p AS (
             SELECT pair_id, coalesce(a0, []) AS a, coalesce(b0, []) AS b,
                    coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1),
@@ -157,6 +187,37 @@ ORACLES = {
                    AND ar <> br AS usable
         FROM q
     """,
+    "op4_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS h
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w
+            FROM d GROUP BY source
+        ), l AS (
+            SELECT source, n, w, CAST(3 * n AS DOUBLE) AS cap,
+                   (sum(n) OVER () - coalesce(sum(CAST(3 * n AS DOUBLE)) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+            FROM s WINDOW before AS (ORDER BY CAST(3 * n AS DOUBLE) / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT source, n, w, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap)) AS target FROM l
+        ), line AS (
+            SELECT doc_id, size, n, w, target,
+                   sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS begin
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), copied AS (
+            SELECT *, CASE WHEN size > 0 THEN CAST(greatest(0, least(3, ceil((target - begin - size / 2) / greatest(n, 1)))) AS BIGINT) ELSE 0 END AS copies,
+                   CASE w WHEN 2 THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS w0, CASE w WHEN 1 THEN -1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END AS slope
+            FROM line
+        ), timed AS (
+            SELECT *, list_transform(list_transform(range(0, copies), lambda e: least((begin + e * n) / target, 1) * w), lambda need: round(
+                       least(greatest(2 * need / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * need, 1e-18::DOUBLE))), 0), 1), 9)) AS p
+            FROM copied
+        )
+        SELECT doc_id, size, n AS source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken,
+               p[1] AS position_1, p[2] AS position_2, p[3] AS position_3
+        FROM timed
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import dataclasses
 
-from pagewright.llm.substring_dedup import Words, hash_ranges, mix
+import numpy as np
+import xxhash
 
 SHINGLE = 5
 
@@ -13,35 +14,71 @@ SHINGLE = 5
 REGISTERS, BAND, BASE = 128, 4, 1.001
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_MASK = (1 << 64) - 1
 _MIXERS = np.random.default_rng(10).integers(1, 1 << 32, (REGISTERS, 2), np.uint32, endpoint=False) | np.uint32(1)
 
 
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """All sets one behind another, as sorted 64-bit hashes, and where each begins and ends.
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A to Z in lower case; bytes.split() cuts at 0x20 and 0x09 to 0x0D."""
+    return text.translate(_LOWER).split()
+
+
+@dataclasses.dataclass(frozen=True)
+class Sets:
+    """The sets of some texts one behind another: set k lies from bounds[k] to bounds[k + 1].
 
-    A shingle is `size` consecutive words with A to Z in lower case; fewer words are one shingle; no words are none.
+    ids: numbers of shingles, equal exactly where the shingles' words are; they hold within one call. hashes: 64-bit
+    hashes of the same shingles, which hold everywhere, for sketches only.
     """
-    words = Words([t.translate(_LOWER) for t in texts])
-    count = np.diff(words.bounds)
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+
+def shingle_sets(texts: list[list[bytes]], size: int = SHINGLE) -> Sets:
+    """The shingle sets of texts, each given as its words.
+
+    A shingle is `size` consecutive words; fewer words are one shingle; no words are none.
+    """
+    flat = [w for t in texts for w in t]
+    number = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}  # 0 fills up short shingles
+    word = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    word_hash = np.zeros(len(number) + 1, np.uint64)
+    word_hash[1:] = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    count = np.array([len(t) for t in texts], np.int64)
     each = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     owner = np.repeat(np.arange(len(texts)), each)
-    begin = words.bounds[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-    end = np.minimum(begin + size, words.bounds[1:][owner])
-    hashes = hash_ranges(mix(words.hashes, 29), begin, end, 1)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[fresh], np.searchsorted(owner[fresh], np.arange(len(texts) + 1))
-
-
-def set_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums for each set, equal for equal sets."""
-    out = np.zeros((len(bounds) - 1, 2), np.uint64)
-    for i in range(2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes, 31 + i), dtype=np.uint64)])
-        out[:, i] = mix(sums[bounds[1:]] - sums[bounds[:-1]], 37)
-    return out
+    first = np.cumsum(count) - count
+    begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    end = np.minimum(begin + size, (first + count)[owner])
+    word = np.append(word, 0)
+    # Numbers of longer and longer beginnings of the shingles, word by word; dense again before they outgrow 63 bits.
+    ids, span = np.zeros(len(begin), np.int64), 1
+    hashes = np.zeros(len(begin), np.uint64)
+
+    def room(ids: np.ndarray, span: int, times: int) -> tuple[np.ndarray, int]:
+        if span * times < 1 << 62:
+            return ids, span
+        ids = np.unique(ids, return_inverse=True)[1]
+        return ids, int(ids.max(initial=0)) + 1
+
+    for k in range(size):
+        next_ = word[np.where(begin + k < end, begin + k, len(flat))]
+        hashes = mix(hashes ^ word_hash[next_], 29 + k)
+        ids, span = room(ids, span, len(number) + 1)
+        ids, span = ids * (len(number) + 1) + next_, span * (len(number) + 1)
+    ids, span = room(ids, span, len(texts) + 1)
+    _, once = np.unique(owner * span + ids, return_index=True)
+    return Sets(ids[once], hashes[once], np.searchsorted(owner[once], np.arange(len(texts) + 1)))
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -99,12 +136,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return found
 
 
-def intersections(hashes: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def intersections(sets: Sets, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets a[k] and b[k]."""
-    return np.array(
-        [
-            np.intersect1d(hashes[bounds[i] : bounds[i + 1]], hashes[bounds[j] : bounds[j + 1]], assume_unique=True).size
-            for i, j in zip(a.tolist(), b.tolist())
-        ],
-        np.int64,
-    )
+    own = lambda i: sets.ids[sets.bounds[i] : sets.bounds[i + 1]]
+    return np.array([np.intersect1d(own(i), own(j), assume_unique=True).size for i, j in zip(a.tolist(), b.tolist())], np.int64)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and all its tasks run in the driver's process, as in tests.
 LOCAL_ROOT = "file:///tmp/checkpoints/pagewright"
 
 #: Names of columns that operators add while they work; inputs may not use this prefix.
@@ -16,12 +17,14 @@ ROW = "_pw_row"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session: spark.checkpoint.dir, else the context's, else LOCAL_ROOT."""
+    """The shared folder of this session: spark.checkpoint.dir, else the context's; LOCAL_ROOT in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_ROOT)
         named = LOCAL_ROOT
     return named.rstrip("/")
@@ -40,13 +43,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back.
 
     The written table cuts the lineage and fixes row order within each file, so every later pass sees the same rows
-    even if the source would be read in another order. It is removed when the driver process ends.
+    even if the source would be read in another order. It is removed by free(), else when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/pagewright-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._pw_path = path
+    return held
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables from stage() that nothing will read any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._pw_path)
 
 
 def stage_rows(df: DataFrame, name: str) -> DataFrame:

@@ -96,8 +96,9 @@ def near_cases() -> list[tuple]:
     return [(i * 3 + 1, t, "x", i, None) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_near_groups_are_those_of_brute_force(spark, percent):
+@pytest.mark.parametrize("percent, block", [(85, 128), (80, 128), (85, 16), (70, 5)])
+def test_near_groups_are_those_of_brute_force(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = near_cases()
     docs = spark.createDataFrame(rows, DOCS)
     got = near_dedup.near_groups(stage_rows(docs, "documents"), percent=percent).collect()
@@ -106,6 +107,41 @@ def test_near_groups_are_those_of_brute_force(spark, percent):
     assert sorted(r.doc_id for r in got if r.leads) == sorted({c for _, _, c in wanted})
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words that polynomial hashes modulo a power of two take for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_polynomial_hashes_are_different_words(spark):
+    a, b = thue_morse(12)
+    rows = [(1, a), (2, b), (3, f"x {a} y z u v"), (4, f"x {b} y z u v"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_groups(stage_rows(docs, "documents")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(near_dedup.brute_force([r[0] for r in rows], [r[1] for r in rows]))
+    assert {r.component_id for r in got} == {1, 2, 3, 4}
+
+
+def test_percent_below_what_bands_find_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        near_dedup.near_groups(stage_rows(docs, "documents"), percent=60)
+
+
+@pytest.mark.parametrize("percent", [85, 80, 70])
+def test_pairs_at_the_threshold_are_candidates(spark, percent):
+    rng, rows = random.Random(percent), []
+    for k in range(300):  # pairs of 105 shingles a side, of which so many are shared that the pair just reaches the threshold
+        base = words(rng, 109)
+        share = -(-2 * 105 * percent // (100 + percent))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: share + 4] + words(rng, 105 - share)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(stage_rows(docs, "documents"), percent=percent).collect()}
+    assert np.mean([got[2 * k + 1] == 2 * k for k in range(300)]) >= 0.99
+
+
 def test_near_copies_drop_but_one(spark):
     rows = [(2, "a b c d e f", "x", 1, None), (1, "A b c d e f", None, None, None), (1, "A b c d e f", None, None, None), (None, "a B c d e f", "y", 1, None), (7, None, "z", 2, None), (8, "", "z", 2, None)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -115,8 +151,8 @@ def test_near_copies_drop_but_one(spark):
 
 
 def test_registers_merge_as_sets_do():
-    a, b = (" ".join(words(random.Random(k), 80)).encode() for k in (1, 2))
-    h, s = sketches.shingle_sets([a, b])
+    sets = sketches.shingle_sets([[w.encode() for w in words(random.Random(k), 80)] for k in (1, 2)])
+    h, s = sets.hashes, sets.bounds
     union = np.unique(h)
     both = sketches.registers(h, s)
     assert (sketches.registers(union, np.array([0, len(union)]))[0] == both.max(axis=0)).all()
@@ -129,11 +165,11 @@ def test_estimates_are_near_the_truth():
         copy = list(base)
         for _ in range(k):
             copy[rng.randrange(400)] = "zz"
-        pairs.append(" ".join(copy).encode())
-    h, s = sketches.shingle_sets([" ".join(base).encode(), *pairs])
-    r, n = sketches.registers(h, s), np.diff(s)
+        pairs.append([w.encode() for w in copy])
+    sets = sketches.shingle_sets([[w.encode() for w in base], *pairs])
+    r, n = sketches.registers(sets.hashes, sets.bounds), np.diff(sets.bounds)
     a, b = np.zeros(len(pairs), int), np.arange(1, len(pairs) + 1)
-    common = sketches.intersections(h, s, a, b)
+    common = sketches.intersections(sets, a, b)
     truth = common / (n[a] + n[b] - common)
     assert np.abs(sketches.estimate(r[a], r[b], n[a], n[b]) - truth).max() < 0.15
 
