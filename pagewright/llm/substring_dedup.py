@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import slices, tidy
+from pagewright.llm.sketches import mix
 from pagewright.llm.staging import power_of_two, stage
 
 WINDOW = 35
@@ -25,51 +27,23 @@ CHUNK_BYTES, SHARE_BYTES, LEAST_SHARES = 2 << 20, 32 << 20, 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0xD6E8FEB86659FD93 | 1)
-_BYTES = np.random.default_rng(9).integers(0, _MASK, 256, np.uint64, endpoint=True)
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers."""
-    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = _POWERS.get(which)
-    if held is None or len(held[0]) < n:
-        base = _BASES[which]
-        steps = [np.full(max(n, 1 << 16), b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
-        for s in steps:
-            s[0] = 1
-        held = _POWERS[which] = tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
-    return held
-
-
-def hash_ranges(values: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """A hash of values[begin:end] for each range: a polynomial over all ranges at once, scrambled with the length."""
-    up, down = _powers(which, len(values) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
-    return mix((sums[end] - sums[begin]) * down[begin] + mix((end - begin).astype(np.uint64), 3))
+_ODD = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
 class Words:
-    """The words of some texts: byte ranges in one buffer, hashes, and which words belong to which text."""
+    """The words of some texts: byte ranges in one buffer, names, and which words belong to which text."""
 
     def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+        whole = b"".join(t + b" " for t in texts)
+        self.data = np.frombuffer(whole, np.uint8)
         space = _SPACE[self.data]
         edges = np.flatnonzero(np.diff(space, prepend=True))
         self.begin, self.end = edges[::2], edges[1::2]
         ends = np.cumsum([0, *[len(t) + 1 for t in texts]])
         self.bounds = np.searchsorted(self.begin, ends)  # of the texts, in words
-        self.hashes = hash_ranges(_BYTES[self.data], self.begin, self.end, 0)
+        words = whole.split()  # at the same bytes
+        names = {w: xxhash.xxh3_64_intdigest(w) for w in dict.fromkeys(words)}
+        self.names = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
         self.first = np.zeros(len(self.begin) + 1, bool)
         self.first[self.bounds] = True
 
@@ -90,7 +64,7 @@ class Grammar:
     """
 
     def __init__(self, words: Words, rounds: str = ROUNDS):
-        names, first = words.hashes, words.first[:-1]
+        names, first = words.names, words.first[:-1]
         n = len(names)
         left, right = np.arange(n + 1), np.arange(n + 1)
         for k, kind in enumerate(rounds):
@@ -102,7 +76,7 @@ class Grammar:
                 starts = np.flatnonzero(fresh)
                 times = np.diff(starts, append=len(names)).astype(np.uint64)
                 held = names[starts]
-                new = np.where(times > 1, mix(held * np.uint64(_BASES[1]) + times, 5), held)
+                new = np.where(times > 1, mix(held * np.uint64(_ODD[0]) + times, 5), held)
                 # A run at the edge may go on outside.
                 after, before = np.append(place + 1, len(starts)), np.append(0, place)
             else:
@@ -114,7 +88,7 @@ class Grammar:
                 held = names[starts]
                 pair = np.append(second, False)[starts + 1]
                 other = names[np.minimum(starts + 1, len(names) - 1)]
-                new = np.where(pair, mix(mix(held, 17) * np.uint64(_BASES[2]) + other, 19), held)
+                new = np.where(pair, mix(mix(held, 17) * np.uint64(_ODD[1]) + other, 19), held)
                 after = np.append(place + ~goes_left, len(starts))
                 before = np.append(0, place + ~goes_left)
             left, right = after[left], before[right]
@@ -131,8 +105,21 @@ def candidates(words: Words, grammar: Grammar, repeated: np.ndarray, length: int
 
 
 def window_keys(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
-    """Two independent 64-bit hashes of each window, as an array of two columns."""
-    return np.stack([hash_ranges(mix(words.hashes, 23 + i), starts, starts + length, i) for i in (1, 2)], axis=1)
+    """A 128-bit BLAKE2b digest of each window's words joined by spaces, as an array of two columns.
+
+    The names of symbols only leave windows out; which windows are equal is read from the words themselves.
+    """
+    buffer = words.data.copy()
+    buffer[words.end] = 32
+    inside = np.zeros(len(buffer) + 1, np.int8)
+    inside[words.begin] += 1
+    inside[words.end + 1] -= 1  # each word with one space behind it
+    flat = memoryview(buffer[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
+    at = np.concatenate([[0], np.cumsum(words.end - words.begin + 1)])
+    digest = hashlib.blake2b
+    spans = zip(at[starts].tolist(), at[starts + length].tolist())
+    found = b"".join([digest(flat[a:b], digest_size=16).digest() for a, b in spans])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,10 +236,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     same document included. All windows are judged on the input.
     First exchange: the symbols of every chunk of documents are counted over the corpus, and each chunk learns which of
     its symbols occur twice. Only windows whose own symbols are all repeated can be repeated themselves. Second
-    exchange: these windows are counted by a 128-bit hash of their words. Texts stay in their chunks; keys go to a task
-    by a share of the hash and bits come back.
+    exchange: these windows are counted by a 128-bit cryptographic digest of their words, so no weakness of a symbol's name
+    can make two windows equal. Keys go to a task by a share of the hash and bits come back to the chunk.
     kept joins the kept words with one space. Null and empty texts have no words; documents of fewer than `length` words
-    keep all; repeated rows count as other documents; an empty table gives no rows.
+    keep all; repeated rows count as other documents; a null key stays null; very long texts are chunks of their own; an
+    empty table gives no rows. Only key and text are read, whatever other columns are called; a key may not be named
+    n_words, n_removed or kept.
     """
     chunks = stage(_chunks(docs, key, text), "chunks")
     size = chunks.agg(F.sum("bytes")).first()[0] or 0

@@ -19,6 +19,14 @@ def words(rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(n)]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words that polynomial hashes modulo a power of two take for one."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 def test_filter_is_lossless_and_mergeable():
     rng = np.random.default_rng(1)
     values = rng.integers(-(1 << 63), (1 << 63) - 1, 500)
@@ -63,6 +71,15 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, rounds):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_windows_with_words_of_equal_polynomial_hashes_differ(spark):
+    a, b = thue_morse(12)
+    rest = [f"w{i}" for i in range(36)]
+    texts = [" ".join([*rest[:18], x, *rest[18:]]) for x in (a, b)] + [" ".join(rest[:34]), "v " * 80]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == substring_dedup.brute_force(texts) and got[0][1] == 0
+
+
 def test_symbols_of_equal_windows_agree_wherever_they_stand():
     rng = random.Random(5)
     window = words(rng, 35)
@@ -107,14 +124,6 @@ def test_near_groups_are_those_of_brute_force(spark, monkeypatch, percent, block
     assert sorted(r.doc_id for r in got if r.leads) == sorted({c for _, _, c in wanted})
 
 
-def thue_morse(n: int) -> tuple[str, str]:
-    """Two different words that polynomial hashes modulo a power of two take for one."""
-    a, b = "a", "b"
-    for _ in range(n):
-        a, b = a + b, b + a
-    return a, b
-
-
 def test_words_of_equal_polynomial_hashes_are_different_words(spark):
     a, b = thue_morse(12)
     rows = [(1, a), (2, b), (3, f"x {a} y z u v"), (4, f"x {b} y z u v"), (5, a)]
