@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,42 +110,52 @@ class Bags:
     @classmethod
     def of(cls, texts: list[bytes]) -> Bags:
         held = [bag(t) for t in texts]
-        starts = np.cumsum([0, *[len(b) for b, _ in held]])
         flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.uint32) for x in zip(*held)] if held else [np.zeros(0, np.uint32)] * 2
-        return cls(*flat, starts)
+        return cls(*flat, np.cumsum([0, *[len(b) for b, _ in held]]))
 
+    def runs(self, rows: int = 256) -> Iterator[tuple[np.ndarray, slice]]:
+        """Some rows at a time: the row of each of their n-grams, and where these lie."""
+        for k in range(0, len(self.starts) - 1, rows):
+            ends = self.starts[k : k + rows + 1]
+            yield k + np.repeat(np.arange(len(ends) - 1), np.diff(ends)), slice(ends[0], ends[-1])
 
-def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, seed: int = 7) -> ToxicityModel:
+
+def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, ranks: np.ndarray | None = None, seed: int = 7) -> ToxicityModel:
     """Vectors of all buckets and the softmax over two classes, trained together by plain gradient steps.
 
     A row's input is the mean of its n-grams' vectors, rare n-grams counting more. Plain steps move a vector by how many
     rows ask for it, so what many toxic rows share is learned before what one of them has. weight: how much each row
-    counts in the loss. With two classes all that a bucket gives a row's logits is its vector times the difference of
-    the softmax's columns, so a step needs one number for each n-gram and none of its width.
+    counts in the loss; ranks: the rows in the order that the seed permutes. With two classes all that a bucket gives a
+    row's logits is its vector times the difference of the softmax's columns, so a step needs one number for each n-gram
+    and none of its width.
     """
     n = len(toxic)
     rng = np.random.default_rng(seed)
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(bags.starts))
-    total = np.bincount(rows, bags.times, n)
-    share = np.bincount(bags.buckets, bags.times, BUCKETS) / max(total.sum(), 1)
-    factor = np.where(np.bincount(bags.buckets, minlength=BUCKETS) >= MIN_DOCS, RARE / (RARE + share), 0.0)
+    ranks = np.arange(n) if ranks is None else ranks
+    seen, met = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    for _, cut_ in bags.runs():
+        seen += np.bincount(bags.buckets[cut_], bags.times[cut_], BUCKETS)
+        met += np.bincount(bags.buckets[cut_], minlength=BUCKETS)
+    factor = np.where(met >= MIN_DOCS, RARE / (RARE + seen / max(seen.sum(), 1)), 0.0)
     known = np.flatnonzero(factor)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[known] = np.arange(len(known))
-    use = np.flatnonzero(factor[bags.buckets])
-    rows = rows[use]
-    part = (factor[bags.buckets[use]] * bags.times[use] / total[rows]).astype(np.float32)
-    norms = np.sqrt(np.bincount(rows, part.astype(float) ** 2, n))
+    places = np.zeros(BUCKETS, np.int32)
+    places[known] = np.arange(len(known))  # an n-gram that is not known has place 0, and no part there
+    place, part, norms = np.empty(len(bags.buckets), np.int32), np.empty(len(bags.buckets), np.float32), np.zeros(n)
+    for row, cut_ in bags.runs():
+        buckets, times = bags.buckets[cut_], bags.times[cut_]
+        share = factor[buckets] * times / np.maximum(np.bincount(row, times, n), 1)[row]
+        place[cut_], part[cut_] = places[buckets], share
+        norms += np.bincount(row, share * share, n)
+    norms = np.sqrt(norms)
     scale = 1 / float(np.median(norms[norms > 0])) if (norms > 0).any() else 1.0
     part *= np.float32(scale)
-    place = place[bags.buckets[use]]
-    starts = np.searchsorted(rows, np.arange(n + 1))
+    starts = bags.starts
     vectors = np.zeros((len(known), WIDTH), np.float32)  # so that an n-gram that tells nothing says nothing
     softmax, offset = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2)
     worth = weight / max(weight.mean(), 1e-9) if n else weight
     for epoch in range(EPOCHS):
         step = STEP * (1 - epoch / EPOCHS)
-        order = rng.permutation(n)
+        order = ranks[rng.permutation(n)]
         for k in range(0, n, BATCH):
             group = order[k : k + BATCH]
             spans = [slice(starts[i], starts[i + 1]) for i in group]
@@ -193,20 +204,25 @@ def fit_toxicity(
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), buckets, times], ["place", "label", "buckets", "times"])
 
     placed = sample.select(F.xxhash64(F.col(key)).alias("place"), F.col("label").cast("int"), F.col("text"))
-    counted = placed.mapInArrow(count, "place long, label int, buckets binary, times binary").toArrow().combine_chunks()
-    order = np.argsort(counted.column("place").to_numpy(), kind="stable")
-    counted = counted.take(order)
-    lengths = np.array([len(x) // 2 for x in counted.column("times").to_pylist()], np.int64)
-    flat = [
-        np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_py(), t) for x in counted.column(c)]])
-        for c, t in (("buckets", np.uint32), ("times", np.uint16))
-    ]
+    counted = placed.mapInArrow(count, "place long, label int, buckets binary, times binary").toArrow()
+    ranks = np.argsort(counted.column("place").to_numpy(), kind="stable")
     toxic = counted.column("label").to_numpy().astype(float)
+    sizes = pc.binary_length(counted.column("times")).to_numpy() // 2
+    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    flat = [np.empty(starts[-1], np.uint32), np.empty(starts[-1], np.uint16)]
+    for array, name in zip(flat, ("buckets", "times")):
+        at = 0
+        for chunk in counted.column(name).chunks:
+            ends, width = np.frombuffer(chunk.buffers()[1], np.int32), array.itemsize
+            data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[chunk.offset] : ends[chunk.offset + len(chunk)]]
+            array[at : at + len(data) // width] = np.frombuffer(data.tobytes(), array.dtype)
+            at += len(data) // width
     del counted
+    give_back()
     held = {c: float((toxic == c).sum()) for c in (0, 1)}
     # A class of which the sample holds a part only counts with the weight of the whole.
     weight = np.array([shares.get(int(c), 0) / max(held[int(c)], 1) for c in toxic], float)
-    model = train(Bags(*flat, np.cumsum([0, *lengths])), toxic, weight)
+    model = train(Bags(*flat, starts), toxic, weight, ranks)
     del flat
     give_back()
     return model
