@@ -14,13 +14,13 @@ SHINGLE = 5
 REGISTERS, BAND, BASE = 128, 4, 1.001
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MASK = (1 << 64) - 1
+MASK = (1 << 64) - 1
 _MIXERS = np.random.default_rng(10).integers(1, 1 << 32, (REGISTERS, 2), np.uint32, endpoint=False) | np.uint32(1)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
-    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & _MASK)
+    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & MASK)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))

@@ -8,12 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import slices, tidy
-from pagewright.llm.sketches import mix
+from pagewright.llm.sketches import MASK, mix
 from pagewright.llm.staging import power_of_two, stage
 
 WINDOW = 35
@@ -30,6 +29,21 @@ _SPACE[[32, *range(9, 14)]] = True
 _ODD = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
+def word_names(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range: eight bytes after eight, each scrambled into what came before."""
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    size = end - begin
+    names = mix(size.astype(np.uint64), 3)
+    todo, k = np.arange(len(begin)), 0
+    while len(todo):
+        rest = np.minimum(size[todo] - 8 * k, 8).astype(np.uint64)
+        held = eights[begin[todo] + 8 * k] & (np.uint64(MASK) >> (np.uint64(64) - np.uint64(8) * rest))
+        names[todo] = mix(names[todo] ^ held, 5)
+        k += 1
+        todo = todo[size[todo] > 8 * k]
+    return names
+
+
 class Words:
     """The words of some texts: byte ranges in one buffer, names, and which words belong to which text."""
 
@@ -41,9 +55,7 @@ class Words:
         self.begin, self.end = edges[::2], edges[1::2]
         ends = np.cumsum([0, *[len(t) + 1 for t in texts]])
         self.bounds = np.searchsorted(self.begin, ends)  # of the texts, in words
-        words = whole.split()  # at the same bytes
-        names = {w: xxhash.xxh3_64_intdigest(w) for w in dict.fromkeys(words)}
-        self.names = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
+        self.names = word_names(self.data, self.begin, self.end)
         self.first = np.zeros(len(self.begin) + 1, bool)
         self.first[self.bounds] = True
 
@@ -114,7 +126,7 @@ def window_keys(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
     inside = np.zeros(len(buffer) + 1, np.int8)
     inside[words.begin] += 1
     inside[words.end + 1] -= 1  # each word with one space behind it
-    flat = memoryview(buffer[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
+    flat = buffer[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)].tobytes()
     at = np.concatenate([[0], np.cumsum(words.end - words.begin + 1)])
     digest = hashlib.blake2b
     spans = zip(at[starts].tolist(), at[starts + length].tolist())
