@@ -101,6 +101,7 @@ class Corpus:
             F.when(F.col("error").isNull(), filled).otherwise(0).alias("pages_with_content"),
             F.coalesce(F.col("page_basis") == "physical_pages", F.lit(True)).alias("observed_pages"),
             F.when(F.col("error").isNull(), guessed).otherwise(0).alias("heuristic_pages"),
+            "warnings",
         )
-        counts = p.warning_counts(s.exploded(held.select(self.key, "warnings"), self.key, "warnings"), self.key, "kind")
-        return p.processability(documents, counts, self.key)
+        counted = p.warning_tallies("warnings")
+        return p.health(documents.withColumns(counted).drop("warnings"), self.key)

@@ -39,12 +39,17 @@ def search(pages: DataFrame, keys: list[str], query: str, text: str = "text") ->
     held = held.filter(F.col("folded").contains(needle))
     quoted = "".join(f"\\x{{{ord(c):x}}}" for c in needle)
     pieces = F.split("folded", f"(?={quoted})", -1)
-    lengths = F.transform(pieces, lambda p: F.char_length(p))
-    # Pieces begin wherever the needle does, the first at the line itself, which may not.
-    places = F.transform(
-        pieces, lambda p, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
+    # Pieces begin wherever the needle does, the first at the line itself, which may not. One pass carries the length.
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("hits"))
+    walked = F.aggregate(
+        pieces,
+        start,
+        lambda a, p: F.struct(
+            (a["at"] + F.char_length(p)).alias("at"),
+            F.when(F.startswith(p, F.lit(needle)), F.array_append(a["hits"], a["at"])).otherwise(a["hits"]).alias("hits"),
+        ),
     )
-    hits = F.filter(places, lambda c: F.substring(F.col("folded"), c + 1, F.lit(len(needle))) == needle)
+    hits = walked["hits"]
     return held.select(*keys, "line", F.explode(hits).alias("col_start"), "snippet").select(
         *keys,
         "line",
@@ -55,9 +60,18 @@ def search(pages: DataFrame, keys: list[str], query: str, text: str = "text") ->
 
 
 def first_hits(hits: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first hits in order, each with the total before the limit."""
-    total = hits.agg(F.count("*").alias("total"))
-    return hits.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))  # one row
+    """The first hits in order, each with the total before the limit, from one pass over the hits.
+
+    Each task counts its hits and keeps its first ones; only these meet.
+    """
+    one = F.struct(*order)
+    parts = hits.select(one.alias("hit"), F.spark_partition_id().alias("part"))
+    first = Window.partitionBy("part").orderBy("hit")
+    held = parts.withColumns({"k": F.row_number().over(first), "n": F.count("*").over(Window.partitionBy("part"))})
+    few = held.filter(F.col("k") <= limit)
+    every = Window.partitionBy()
+    total = F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)).over(every)
+    return few.withColumn("total", total).orderBy("hit").limit(limit).select("hit.*", "total")
 
 
 def chunks(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -114,7 +128,21 @@ def processability(documents: DataFrame, counts: DataFrame, doc: str) -> DataFra
     documents has doc, readable, decoded, pages_total, pages_with_content, observed_pages and heuristic_pages. A document
     that cannot be read or decoded is blocked and nothing else is said about it.
     """
-    held = documents.join(counts, doc, "left").fillna(0, [*REPORTED, "other_warnings", "warning_count"])
+    return health(documents.join(counts, doc, "left").fillna(0, [*REPORTED, "other_warnings", "warning_count"]), doc)
+
+
+def warning_tallies(warnings: str) -> dict[str, Column]:
+    """The counts of warning_counts() of an array of warnings, within its row."""
+    many = lambda kinds: F.coalesce(F.size(F.filter(warnings, lambda w: w["kind"].isin(kinds))), F.lit(0)).cast("long")
+    return {
+        **{k: many([k]) for k in REPORTED},
+        "other_warnings": many(OTHER),
+        "warning_count": F.coalesce(F.size(warnings), F.lit(0)).cast("long"),
+    }
+
+
+def health(held: DataFrame, doc: str) -> DataFrame:
+    """processability() of rows that hold their counts of warnings."""
     names: Column = F.array_compact(
         F.array(
             F.when(~F.col("observed_pages"), "approximate_pagination"),

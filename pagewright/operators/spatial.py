@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,46 +81,75 @@ def box_components(boxes: DataFrame, by: list[str], gap: float) -> DataFrame:
     near = g.distance(F.col("box"), F.col("far")) <= gap
     edges = reach.join(other, [*by, "bin"]).filter(near).select(*by, "id", "other").distinct()
     edges = edges.persist()
-    labels = b.select(*by, "id", F.col("id").alias("component"))
+    held = [b.select(*by, "id", F.col("id").alias("component"))]
     while True:
+        labels = held[-1]
         spread = edges.join(labels.withColumnRenamed("id", "other"), [*by, "other"])
         fresh = spread.groupBy(*by, "id").agg(F.min("component").alias("component")).persist()
         moved = fresh.join(labels.withColumnRenamed("component", "was"), [*by, "id"]).filter("component < was").limit(1).count()
-        labels = fresh
+        if len(held) > 1:  # what the step before the last one held has been read for the last time
+            held.pop(0).unpersist()
+        held.append(fresh)
         if not moved:
-            return labels
+            edges.unpersist()
+            return fresh
+
+
+def _labels(page: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, gap: float) -> np.ndarray:
+    """The least id that each box reaches within its page, for boxes of many pages, page after page."""
+    least = ids.copy()
+    order = np.lexsort((x, page))
+    # Behind a box in this order, those of its page that begin before its right edge and the gap: pages stand far apart.
+    shift = page * (np.ptp(x) + w.max(initial=0) + gap + 1)
+    place = (x + shift)[order]
+    reach = np.searchsorted(place, place + w[order] + gap + 1e-6, side="right")
+    many = reach - np.arange(len(order)) - 1
+    a = np.repeat(order, many)
+    b = order[np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.arange(len(order)) + 1, many)]
+    dx = np.maximum(np.maximum(x[b] - (x[a] + w[a]), x[a] - (x[b] + w[b])), 0)
+    dy = np.maximum(np.maximum(y[b] - (y[a] + h[a]), y[a] - (y[b] + h[b])), 0)
+    near = (page[a] == page[b]) & (np.sqrt(dx * dx + dy * dy) <= gap)
+    a, b = a[near], b[near]
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        before = least.copy()
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        if (before == least).all():
+            break
+    return least
 
 
 def page_components(boxes: DataFrame, by: list[str], gap: float) -> DataFrame:
-    """As box_components() for groups that are pages: each is read into one task, where labels spread over a matrix of rows.
+    """As box_components() for groups that are pages: each is read into one task, where labels spread over arrays.
 
-    One exchange instead of one for each step of the spread; memory grows with the boxes of a page, not of a document.
+    One exchange instead of one for each step of the spread. Pages come sorted, so one call labels all whole pages of some
+    batches; memory grows with the boxes of a page, not of a document.
     """
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-
-    def label(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        x, y, w, h = (table.column(k).to_numpy() for k in ("x", "y", "width", "height"))
-        least = ids.copy()
-        order = np.argsort(x, kind="stable")
-        pairs = []
-        reach = np.searchsorted(x[order], x[order] + w[order] + gap, side="right")
-        for k, i in enumerate(order):
-            j = order[k + 1 : reach[k]]
-            dx = np.maximum(x[j] - (x[i] + w[i]), 0)
-            dy = np.maximum(np.maximum(y[j] - (y[i] + h[i]), y[i] - (y[j] + h[j])), 0)
-            near = j[np.sqrt(dx * dx + dy * dy) <= gap]
-            pairs.append(np.stack([np.full(len(near), i), near]))
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        while len(a):
-            low = np.minimum(least[a], least[b])
-            before = least.copy()
-            np.minimum.at(least, a, low)
-            np.minimum.at(least, b, low)
-            if (before == least).all():
-                break
-        return table.select([*by, "id"]).append_column("component", pa.array(least))
+    names = [*by, "id", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def label(table: pa.Table) -> pa.RecordBatch:
+            keys = [table.column(c).to_numpy(zero_copy_only=False) for c in by]
+            fresh = np.ones(table.num_rows, bool)
+            fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            columns = [table.column(c).to_numpy() for c in ("id", "x", "y", "width", "height")]
+            found = pa.array(_labels(np.cumsum(fresh), *columns, gap))
+            return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in [*by, "id"]], found], names)
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            last = np.all([table.column(c).to_numpy(zero_copy_only=False) == table.column(c)[-1].as_py() for c in by], axis=0)
+            cut = int(np.argmax(last))  # where the page that may go on begins
+            if cut:
+                yield label(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield label(rest)
 
     flat = boxes.select(*by, "id", "box.x", "box.y", "box.width", "box.height")
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*by, "id"]] + [f"component {kinds['id']}"])
-    return flat.groupBy(*by).applyInArrow(label, schema)
+    return flat.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pagewright.plans import documents, formats, layout, rules, texts
+from pagewright.plans import documents, formats, layout, packages, rules, texts
 
-_ALL = texts.QUERIES | layout.QUERIES | rules.QUERIES | formats.QUERIES | documents.QUERIES
+_ALL = texts.QUERIES | layout.QUERIES | rules.QUERIES | formats.QUERIES | documents.QUERIES | packages.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -32,7 +32,7 @@ def _conversations(s, d):
     items = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<li>"), t["role"])), "")
     html = F.concat(
         F.lit("<html><body><section aria-label=s><h1>Conversation "), F.col("conv_id"), F.lit("</h1><table><tr><th>role<th>a<th>b"), rows,
-        F.lit("</table></section><ol>"), items, F.lit("</ol><p>See <a href='/x'>x</a><a href='/y'>y</a><div style='display:none'>no</div></body></html>"),
+        F.lit("</table></section><ol>"), items, F.lit("</ol><a href='/x'>x</a><a href='/y'>y</a><div style='display:none'>no</div></body></html>"),
     )
     return Corpus.of_html(held.select("conv_id", html.alias("html")), "conv_id", "html")
 
@@ -70,15 +70,15 @@ QUERIES = {
     "html_tables": (
         lambda s, d: _conversations(s, d).tables().select("conv_id", "rows", "cols", "first_page", F.size("cells").alias("n_cells")),
         f"""SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS rows, 3 AS cols, 1 AS first_page,
-                   CAST(3 + count(*) + count(*) FILTER (WHERE trim(substr(text, 1, 60)) <> '') AS INTEGER) AS n_cells {_TURNS}""",
+                   CAST(3 + count(*) + count(*) FILTER (WHERE trim(text) <> '') AS INTEGER) AS n_cells {_TURNS}""",
     ),
     "html_cells": (
         lambda s, d: _conversations(s, d).cells().filter("col = 0 and row > 0").select("conv_id", "row", "text"),
         "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS row, role AS text FROM conversations",
     ),
     "html_links": (
-        lambda s, d: corpus(s, d).links(),
-        "SELECT page_id, 1 AS page, '' AS url, '' AS text, 0 AS first FROM pages WHERE false",
+        lambda s, d: _conversations(s, d).links().select("conv_id", "page", "url", "text"),
+        f"SELECT conv_id, 1 AS page, '/' || x AS url, x AS text FROM (SELECT conv_id, unnest(['x', 'y']) AS x {_TURNS})",
     ),
     "html_counts": (
         lambda s, d: structure.kind_counts(_conversations(s, d).nodes(), "conv_id").select("conv_id", "tables", "headings", "lists", "paragraphs"),

@@ -57,7 +57,7 @@ def bbox_properties(s, d):
 
 
 def edges(s, d):
-    one = boxes(s, d).filter("doc % 4 = 0").groupBy("doc", "id").agg(F.min("box").alias("box"))
+    one = boxes(s, d).groupBy("doc", "id").agg(F.min("box").alias("box"))
     h = one.filter("id % 2 = 0").select("doc", "id", F.col("box.y").alias("pos"), F.col("box.x").alias("low"), g.right(F.col("box")).alias("high"))
     v = one.filter("id % 2 = 1").select("doc", "id", F.col("box.x").alias("pos"), F.col("box.y").alias("low"), (F.col("box.y") + 0.4).alias("high"))
     return spatial.crossings(h, v, ["doc"], 0.004).select("doc", "h_id", "v_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -68,23 +68,23 @@ _ONE = f"WITH {BOXES_SQL}, one AS (SELECT doc, id, min(struct_pack(x := x, y :=
 
 def points(s, d):
     one = boxes(s, d).groupBy("doc", "id").agg(F.min("box").alias("box"))
-    at = one.select((F.col("doc") % 50).alias("page"), (F.col("doc") * 10 + F.col("id")).alias("id"), F.col("box.x").alias("x"), F.col("box.y").alias("y"))
-    into = one.filter("id = 1").select((F.col("doc") % 50).alias("page"), F.col("doc").alias("id"), "box")
+    at = one.select(F.floor(F.col("doc") / 300).alias("page"), (F.col("doc") * 10 + F.col("id")).alias("id"), F.col("box.x").alias("x"), F.col("box.y").alias("y"))
+    into = one.filter("id = 1").select(F.floor(F.col("doc") / 300).alias("page"), F.col("doc").alias("id"), "box")
     return spatial.points_in_boxes(at, into, ["page"])
 
 
 def links(s, d):
     one = boxes(s, d).groupBy("doc", "id").agg(F.min("box").alias("box"))
-    texts = one.filter("id = 1").select((F.col("doc") % 200).alias("page"), F.col("doc").alias("id"), "box")
-    found = one.filter("id = 2").select((F.col("doc") % 200).alias("page"), F.col("doc").alias("id"), "box")
+    texts = one.filter("id = 1").select(F.floor(F.col("doc") / 80).alias("page"), F.col("doc").alias("id"), "box")
+    found = one.filter("id = 2").select(F.floor(F.col("doc") / 80).alias("page"), F.col("doc").alias("id"), "box")
     return spatial.best_links(texts, found, ["page"]).withColumn("score", F.round("score", 6))
 
 
 def fold_values(s, d, size=7):
-    return boxes(s, d).groupBy((F.col("doc") % 300).alias("page")).agg(F.array_sort(F.collect_set(F.round(F.col("box.x") + F.col("id") / 1000, 4))).alias("v"))
+    return boxes(s, d).groupBy(F.floor(F.col("doc") / 50).alias("page")).agg(F.array_sort(F.collect_set(F.round(F.col("box.x") + F.col("id") / 1000, 4))).alias("v"))
 
 
-_VALUES = f"WITH RECURSIVE {BOXES_SQL}, v AS (SELECT doc % 300 AS page, list_sort(list_distinct(list(round(x + id / 1000, 4)))) AS v FROM boxes GROUP BY doc % 300)"
+_VALUES = f"WITH RECURSIVE {BOXES_SQL}, v AS (SELECT doc // 50 AS page, list_sort(list_distinct(list(round(x + id / 1000, 4)))) AS v FROM boxes GROUP BY doc // 50)"
 
 
 def clusters(s, d):
@@ -108,7 +108,7 @@ def pushed(s, d):
 
 
 def interval_merge(s, d):
-    held = boxes(s, d).select((F.col("doc") % 400).alias("page"), F.col("box.x").alias("low"), (F.col("box.x") + F.col("box.width") / 20).alias("high"))
+    held = boxes(s, d).select(F.floor(F.col("doc") / 40).alias("page"), F.col("box.x").alias("low"), (F.col("box.x") + F.col("box.width") / 20).alias("high"))
     r = q.merged_intervals(held, ["page"], "low", "high", 0.0055)
     return r.select("page", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
@@ -122,20 +122,20 @@ _MERGE = """
 
 def columns(s, d):
     """Columns of each page: extents united over gaps up to 0.03, at least 0.05 wide."""
-    held = boxes(s, d).filter("id <= 3").select("doc", F.col("box.x").alias("low"), g.right(F.col("box")).alias("high"))
+    held = boxes(s, d).select("doc", F.col("box.x").alias("low"), g.right(F.col("box")).alias("high"))
     r = q.merged_intervals(held, ["doc"], "low", "high", 0.0305).filter("high - low >= 0.0495")
     return r.select("doc", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
 
 
 def components(s, d):
     # Documents are cut into small pages, as pages are.
-    one = boxes(s, d).filter("doc % 8 = 0").groupBy("doc", "id").agg(F.min("box").alias("box"))
+    one = boxes(s, d).groupBy("doc", "id").agg(F.min("box").alias("box"))
     return spatial.page_components(one, ["doc"], 0.0504)
 
 
 def components_wide(s, d):
     """The same for groups of any size, by rounds of joins."""
-    one = boxes(s, d).filter("doc % 64 = 0").groupBy("doc", "id").agg(F.min("box").alias("box"))
+    one = boxes(s, d).groupBy("doc", "id").agg(F.min("box").alias("box"))
     return spatial.box_components(one, ["doc"], 0.0504).select("doc", "id", "component")
 
 
@@ -165,11 +165,11 @@ def bands(s, d):
 
 def uncovered(s, d):
     li = read(s, d, "lineitem")
-    cells = li.select((F.col("l_orderkey") % 97).alias("sheet"), (F.col("l_partkey") % 30).cast("int").alias("row"), (F.col("l_suppkey") % 12).cast("int").alias("col")).distinct()
+    cells = li.select(F.floor(F.col("l_orderkey") / 100).alias("sheet"), (F.col("l_partkey") % 30).cast("int").alias("row"), (F.col("l_suppkey") % 12).cast("int").alias("col")).distinct()
     merged = li.filter("l_linenumber = 1").select(
-        (F.col("l_orderkey") % 97).alias("sheet"), (F.col("l_partkey") % 30).cast("int").alias("r0"), (F.col("l_suppkey") % 12).cast("int").alias("c0"),
+        F.floor(F.col("l_orderkey") / 100).alias("sheet"), (F.col("l_partkey") % 30).cast("int").alias("r0"), (F.col("l_suppkey") % 12).cast("int").alias("c0"),
         (F.col("l_partkey") % 30 + F.col("l_orderkey") % 2).cast("int").alias("r1"), (F.col("l_suppkey") % 12 + F.col("l_partkey") % 2).cast("int").alias("c1"),
-    ).filter("sheet % 7 = 0 and r0 % 9 = 0")
+    )
     return spatial.uncovered_cells(cells, merged, ["sheet"])
 
 
@@ -202,10 +202,10 @@ def threads(s, d):
 
 
 def sizes(s, d):
-    return read(s, d, "lineitem").select((F.col("l_orderkey") % 500).alias("doc"), (F.col("l_quantity") * 2 + 60).cast("double").alias("size"))
+    return read(s, d, "lineitem").select(F.floor(F.col("l_orderkey") / 30).alias("doc"), (F.col("l_quantity") * 2 + 60).cast("double").alias("size"))
 
 
-_SIZES = "WITH z AS (SELECT l_orderkey % 500 AS doc, CAST(l_quantity * 2 + 60 AS DOUBLE) AS size FROM lineitem)"
+_SIZES = "WITH z AS (SELECT l_orderkey // 30 AS doc, CAST(l_quantity * 2 + 60 AS DOUBLE) AS size FROM lineitem)"
 
 
 def paragraph_groups(s, d):
@@ -259,24 +259,23 @@ QUERIES = {
     ),
     "edge_intersections": (
         edges,
-        f"""{_ONE}, k AS (SELECT * FROM one WHERE doc % 4 = 0)
-            SELECT h.doc, h.id AS h_id, v.id AS v_id, round(v.b.x, 6) AS x, round(h.b.y, 6) AS y
-            FROM k h JOIN k v ON h.doc = v.doc AND h.id % 2 = 0 AND v.id % 2 = 1
+        f"""{_ONE} SELECT h.doc, h.id AS h_id, v.id AS v_id, round(v.b.x, 6) AS x, round(h.b.y, 6) AS y
+            FROM one h JOIN one v ON h.doc = v.doc AND h.id % 2 = 0 AND v.id % 2 = 1
             WHERE v.b.x BETWEEN h.b.x - 0.004 AND h.b.x + h.b.w + 0.004 AND h.b.y BETWEEN v.b.y - 0.004 AND v.b.y + 0.404""",
     ),
     "point_in_cell": (
         points,
-        f"""{_ONE} SELECT p.doc % 50 AS page, p.doc * 10 + p.id AS point_id, min(c.doc) AS box_id
-            FROM one p JOIN one c ON c.id = 1 AND p.doc % 50 = c.doc % 50
+        f"""{_ONE} SELECT p.doc // 300 AS page, p.doc * 10 + p.id AS point_id, min(c.doc) AS box_id
+            FROM one p JOIN one c ON c.id = 1 AND p.doc // 300 = c.doc // 300
             WHERE p.b.x BETWEEN c.b.x AND c.b.x + c.b.w AND p.b.y BETWEEN c.b.y AND c.b.y + c.b.h GROUP BY ALL""",
     ),
     "best_link_overlap": (
         links,
         f"""{_ONE}, j AS (
-                SELECT t.doc % 200 AS page, t.doc AS text_id, a.doc AS link_id,
+                SELECT t.doc // 80 AS page, t.doc AS text_id, a.doc AS link_id,
                        greatest(least(t.b.x + t.b.w, a.b.x + a.b.w) - greatest(t.b.x, a.b.x), 0) / t.b.w
                        + 0.25 / (1 + abs(t.b.x + t.b.w / 2 - (a.b.x + a.b.w / 2)) + abs(t.b.y + t.b.h / 2 - (a.b.y + a.b.h / 2))) AS score
-                FROM one t JOIN one a ON t.id = 1 AND a.id = 2 AND t.doc % 200 = a.doc % 200
+                FROM one t JOIN one a ON t.id = 1 AND a.id = 2 AND t.doc // 80 = a.doc // 80
                 WHERE least(t.b.x + t.b.w, a.b.x + a.b.w) - greatest(t.b.x, a.b.x) >= 0.5 * t.b.w
                   AND least(t.b.y + t.b.h, a.b.y + a.b.h) - greatest(t.b.y, a.b.y) > 0
             )
@@ -285,12 +284,12 @@ QUERIES = {
     ),
     "interval_merge": (
         interval_merge,
-        f"""WITH {BOXES_SQL}, iv AS (SELECT doc % 400 AS page, x AS low, x + w / 20 AS high FROM boxes), {_MERGE.format(gap="0.0055")}
+        f"""WITH {BOXES_SQL}, iv AS (SELECT doc // 40 AS page, x AS low, x + w / 20 AS high FROM boxes), {_MERGE.format(gap="0.0055")}
             SELECT page, round(min(low), 6) AS low, round(max(high), 6) AS high, count(*) AS n FROM g GROUP BY page, island""",
     ),
     "column_detect": (
         columns,
-        f"""WITH {BOXES_SQL}, iv AS (SELECT doc AS page, x AS low, x + w AS high FROM boxes WHERE id <= 3), {_MERGE.format(gap="0.0305")}
+        f"""WITH {BOXES_SQL}, iv AS (SELECT doc AS page, x AS low, x + w AS high FROM boxes), {_MERGE.format(gap="0.0305")}
             SELECT page AS doc, round(min(low), 6) AS low, round(max(high), 6) AS high, count(*) AS n FROM g GROUP BY page, island
             HAVING max(high) - min(low) >= 0.0495""",
     ),
@@ -344,7 +343,7 @@ QUERIES = {
     "components": (
         components,
         f"""WITH RECURSIVE {BOXES_SQL}, one AS (
-                SELECT doc, id, min(struct_pack(x := x, y := y, w := w, h := h)) AS b FROM boxes WHERE doc % 8 = 0 GROUP BY doc, id
+                SELECT doc, id, min(struct_pack(x := x, y := y, w := w, h := h)) AS b FROM boxes GROUP BY doc, id
             ), e AS (
                 SELECT p.doc, p.id, q.id AS other FROM one p JOIN one q USING (doc)
                 WHERE sqrt(power(greatest(q.b.x - (p.b.x + p.b.w), p.b.x - (q.b.x + q.b.w), 0), 2)
@@ -357,9 +356,9 @@ QUERIES = {
     "components_wide": (components_wide, None),
     "merged_cells": (
         uncovered,
-        """WITH c AS (SELECT DISTINCT l_orderkey % 97 AS sheet, l_partkey % 30 AS row, l_suppkey % 12 AS col FROM lineitem),
-           m AS (SELECT l_orderkey % 97 AS sheet, l_partkey % 30 AS r0, l_suppkey % 12 AS c0, l_partkey % 30 + l_orderkey % 2 AS r1,
-                        l_suppkey % 12 + l_partkey % 2 AS c1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 97 % 7 = 0 AND l_partkey % 30 % 9 = 0)
+        """WITH c AS (SELECT DISTINCT l_orderkey // 100 AS sheet, l_partkey % 30 AS row, l_suppkey % 12 AS col FROM lineitem),
+           m AS (SELECT l_orderkey // 100 AS sheet, l_partkey % 30 AS r0, l_suppkey % 12 AS c0, l_partkey % 30 + l_orderkey % 2 AS r1,
+                        l_suppkey % 12 + l_partkey % 2 AS c1 FROM lineitem WHERE l_linenumber = 1)
            SELECT sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM c WHERE NOT EXISTS (
                SELECT 1 FROM m WHERE m.sheet = c.sheet AND c.row BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1 AND NOT (c.row = r0 AND c.col = c0))""",
     ),
@@ -397,8 +396,8 @@ QUERIES = {
             SELECT doc, count(*) AS n, min(size) AS least FROM r WHERE share <= 0.1 GROUP BY doc""",
     ),
     "level_map": (
-        lambda s, d: q.level_map(sizes(s, d).filter("size % 3 = 0"), ["doc"], "size"),
-        f"""{_SIZES}, u AS (SELECT DISTINCT doc, size FROM z WHERE size % 3 = 0)
+        lambda s, d: q.level_map(sizes(s, d), ["doc"], "size"),
+        f"""{_SIZES}, u AS (SELECT DISTINCT doc, size FROM z)
             SELECT doc, size, CAST(least(row_number() OVER (PARTITION BY doc ORDER BY size DESC), 6) AS INTEGER) AS level FROM u""",
     ),
     "median_gap": (
@@ -426,5 +425,5 @@ def _styles_shown(s, d):
     return styles(s, d).select("p_partkey", F.coalesce("size", F.lit(-1)).alias("size0"), F.coalesce("font", F.lit("")).alias("font0"))
 
 
-QUERIES["components_wide"] = (components_wide, QUERIES["components"][1].replace("doc % 8 = 0", "doc % 64 = 0"))
+QUERIES["components_wide"] = (components_wide, QUERIES["components"][1])
 QUERIES["style_inheritance"] = (_styles_shown, QUERIES["style_inheritance"][1])

@@ -11,7 +11,7 @@ from pagewright.plans.tables import BOXES_SQL, boxes, read
 
 def target_cols(s, d):
     """Columns of a character grid: the 90th of 100 characters-per-width ratios, an element and no mean, within 60 to 250."""
-    ratio = boxes(s, d).select((F.col("doc") % 200).alias("page"), ((F.col("id") * 7 + 3) / F.col("box.width")).alias("r"))
+    ratio = boxes(s, d).select(F.floor(F.col("doc") / 80).alias("page"), ((F.col("id") * 7 + 3) / F.col("box.width")).alias("r"))
     held = ratio.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("r"))
     at = F.least(F.floor(F.size("r") * 0.9) + 1, F.size("r")).cast("int")
     return held.select("page", F.least(F.greatest(F.round(F.element_at("r", at)), F.lit(60.0)), F.lit(250.0)).cast("int").alias("cols"))
@@ -20,7 +20,7 @@ def target_cols(s, d):
 def majority_cells(s, d):
     """Each text's cell by the most of its characters, of as many the upper left."""
     votes = read(s, d, "lineitem").select(
-        (F.col("l_orderkey") % 2000).alias("text"), (F.col("l_partkey") % 4).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col")
+        F.floor(F.col("l_orderkey") / 8).alias("text"), (F.col("l_partkey") % 4).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col")
     )
     n = votes.groupBy("text", "row", "col").agg(F.count("*").alias("n"))
     best = F.min_by(F.struct("row", "col", "n"), F.struct(-F.col("n"), F.col("row"), F.col("col"))).alias("b")
@@ -30,7 +30,7 @@ def majority_cells(s, d):
 def header_rows(s, d):
     """Whether row 0 of a table is a header: all bold, or set over a tenth larger than the body, or in another font."""
     c = read(s, d, "lineitem").select(
-        (F.col("l_orderkey") % 800).alias("t"), (F.col("l_linenumber") == 1).alias("top"), (F.col("l_partkey") % 5 > 0).alias("bold"),
+        F.floor(F.col("l_orderkey") / 20).alias("t"), (F.col("l_linenumber") == 1).alias("top"), (F.col("l_partkey") % 5 > 0).alias("bold"),
         (F.col("l_quantity") + F.when(F.col("l_linenumber") == 1, F.col("l_orderkey") % 7).otherwise(0)).alias("size"), F.col("l_returnflag").alias("font"),
     )
     fonts = c.groupBy("t", "top", "font").agg(F.count("*").alias("n")).groupBy("t").agg(
@@ -56,7 +56,7 @@ def snapped_rules(s, d):
 
 def merged_runs(s, d):
     """Runs of one style with at most two columns between them are one run."""
-    r = boxes(s, d).groupBy((F.col("doc") % 1500).alias("line"), F.floor(F.col("box.x") * 80).cast("int").alias("c")).agg(
+    r = boxes(s, d).groupBy(F.floor(F.col("doc") / 10).alias("line"), F.floor(F.col("box.x") * 80).cast("int").alias("c")).agg(
         F.min("id").alias("id"), F.max(F.floor(F.col("box.width") * 20 + 1)).cast("int").alias("n")
     ).withColumn("style", F.col("id") % 3)
     w = Window.partitionBy("line").orderBy("c")
@@ -87,7 +87,7 @@ def unique_warnings(s, d):
 
 def multicolumn(s, d):
     """Whether the left edges of a page's texts stand in two heaps of at least 15 % each, over 0.15 apart."""
-    x = boxes(s, d).select((F.col("doc") % 900).alias("page"), F.floor(F.col("box.x") * 100 / 5).cast("int").alias("bin"))
+    x = boxes(s, d).select(F.floor(F.col("doc") / 20).alias("page"), F.floor(F.col("box.x") * 100 / 5).cast("int").alias("bin"))
     n = x.groupBy("page", "bin").agg(F.count("*").alias("n"))
     every = Window.partitionBy("page")
     heaps = n.withColumn("all", F.sum("n").over(every)).filter(F.col("n") >= 0.15 * F.col("all"))
@@ -96,8 +96,8 @@ def multicolumn(s, d):
 
 def level_lookup(s, d):
     """Each size with the level of the nearest size of the map, at most half a point away."""
-    sizes = read(s, d, "lineitem").select((F.col("l_orderkey") % 300).alias("doc"), (F.col("l_quantity") + F.col("l_linenumber") / 8).alias("size")).distinct()
-    marks = q.level_map(sizes.filter("size % 5 < 0.2"), ["doc"], "size").select("doc", F.col("size").alias("mark"), "level")
+    sizes = read(s, d, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("doc"), (F.col("l_quantity") + F.col("l_linenumber") / 8).alias("size")).distinct()
+    marks = q.level_map(sizes, ["doc"], "size").select("doc", F.col("size").alias("mark"), "level")
     # A mark within half a point lies in the same bin of one point or in a neighbour.
     near = sizes.withColumn("bin", F.explode(F.array(*[F.floor("size") + k for k in (-1, 0, 1)]))).join(
         marks.withColumn("bin", F.floor("mark")), ["doc", "bin"]
@@ -107,8 +107,8 @@ def level_lookup(s, d):
 
 
 _LEVELS = """
-    z AS (SELECT DISTINCT l_orderkey % 300 AS doc, l_quantity + l_linenumber / 8 AS size FROM lineitem),
-    m AS (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS k FROM z WHERE size % 5 < 0.2),
+    z AS (SELECT DISTINCT l_orderkey // 50 AS doc, l_quantity + l_linenumber / 8 AS size FROM lineitem),
+    m AS (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS k FROM z),
     f AS (
         SELECT doc, k, size AS kept, true AS is_kept, size FROM m WHERE k = 1
         UNION ALL
@@ -121,13 +121,13 @@ _LEVELS = """
 QUERIES = {
     "target_cols": (
         target_cols,
-        f"""WITH {BOXES_SQL}, r AS (SELECT doc % 200 AS page, list_sort(list((id * 7 + 3) / w)) AS r FROM boxes GROUP BY 1)
+        f"""WITH {BOXES_SQL}, r AS (SELECT doc // 80 AS page, list_sort(list((id * 7 + 3) / w)) AS r FROM boxes GROUP BY 1)
             SELECT page, CAST(least(greatest(round(r[CAST(least(floor(len(r) * 0.9) + 1, len(r)) AS INTEGER)]), 60), 250) AS INTEGER) AS cols FROM r""",
     ),
     "majority_cell": (
         majority_cells,
         """WITH v AS (
-               SELECT l_orderkey % 2000 AS text, CAST(l_partkey % 4 AS INTEGER) AS row, CAST(l_suppkey % 3 AS INTEGER) AS col, count(*) AS n
+               SELECT l_orderkey // 8 AS text, CAST(l_partkey % 4 AS INTEGER) AS row, CAST(l_suppkey % 3 AS INTEGER) AS col, count(*) AS n
                FROM lineitem GROUP BY 1, 2, 3
            )
            SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, row, col) = 1""",
@@ -135,7 +135,7 @@ QUERIES = {
     "header_row": (
         header_rows,
         """WITH c AS (
-               SELECT l_orderkey % 800 AS t, l_linenumber = 1 AS top, l_partkey % 5 > 0 AS bold,
+               SELECT l_orderkey // 20 AS t, l_linenumber = 1 AS top, l_partkey % 5 > 0 AS bold,
                       l_quantity + CASE WHEN l_linenumber = 1 THEN l_orderkey % 7 ELSE 0 END AS size, l_returnflag AS font FROM lineitem
            ), f AS (
                SELECT t, top, font FROM c GROUP BY t, top, font QUALIFY row_number() OVER (PARTITION BY t, top ORDER BY count(*) DESC, font) = 1
@@ -154,7 +154,7 @@ QUERIES = {
     "merge_runs": (
         merged_runs,
         f"""WITH {BOXES_SQL}, r AS (
-                SELECT doc % 1500 AS line, CAST(floor(x * 80) AS INTEGER) AS c, min(id) % 3 AS style, CAST(max(floor(w * 20 + 1)) AS INTEGER) AS n FROM boxes GROUP BY 1, 2
+                SELECT doc // 10 AS line, CAST(floor(x * 80) AS INTEGER) AS c, min(id) % 3 AS style, CAST(max(floor(w * 20 + 1)) AS INTEGER) AS n FROM boxes GROUP BY 1, 2
             ), g AS (
                 SELECT *, CASE WHEN style <> lag(style) OVER w OR c - lag(c + n) OVER w > 2 THEN 1 ELSE 0 END AS brk FROM r WINDOW w AS (PARTITION BY line ORDER BY c)
             ), i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY line ORDER BY c) AS INTEGER) AS run FROM g)
@@ -176,7 +176,7 @@ QUERIES = {
     ),
     "multicolumn": (
         multicolumn,
-        f"""WITH {BOXES_SQL}, n AS (SELECT doc % 900 AS page, CAST(floor(x * 100 / 5) AS INTEGER) AS bin, count(*) AS n FROM boxes GROUP BY 1, 2),
+        f"""WITH {BOXES_SQL}, n AS (SELECT doc // 20 AS page, CAST(floor(x * 100 / 5) AS INTEGER) AS bin, count(*) AS n FROM boxes GROUP BY 1, 2),
             h AS (SELECT *, sum(n) OVER (PARTITION BY page) AS total FROM n)
             SELECT page, count(*) AS heaps, max(bin) - min(bin) > 3 AS multicolumn FROM h WHERE n >= 0.15 * total GROUP BY page""",
     ),
