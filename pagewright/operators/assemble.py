@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 
+import regex
+
+from pagewright.functions import text as t
 from pagewright.sources.model import Hint, Primitive, Warning_
 
 #: Roles of hints; the first rank that a primitive has decides, within it the first hint.
@@ -25,6 +29,17 @@ _RANK = {kind: i for i, kinds in enumerate(RANKS) for kind in kinds}
 GAP_HEIGHTS, GAP_PAGE, FONT_RATIO = 1.8, 0.015, 1.10
 
 
+#: Roles of texts that stand on a page and not in its content, and of texts in tables.
+RUNNING, TABULAR = RANKS[3], RANKS[1]
+
+#: A paragraph may go on behind a page break where its next text begins this near to its left edge, in pages, is as wide
+#: within this share, and as large within this many points; not behind ! or ?, nor behind a full stop after a word of more
+#: than this many letters, which no abbreviation has.
+SAME_LEFT, SAME_WIDTH, SAME_SIZE, SHORT_WORD = 0.02, 0.10, 0.1, 4
+
+_GOES_ON = regex.compile(t.CONTINUES)
+
+
 @dataclasses.dataclass
 class Node:
     kind: str
@@ -91,6 +106,7 @@ class Assembler:
         self.cells: dict[tuple[int, int], Node] = {}
         self.table_base: tuple[int, int] | None = None
         self.open_list: Node | None = None
+        self.repeated: set[int] = set()  # texts of a header row that stands again on a later page
 
     def add(self, node: Node) -> None:
         (self.stack[-1] if self.stack else self.root).children.append(node)
@@ -146,10 +162,11 @@ class Assembler:
             node, last = self.open_text
             gap = p.y - (last.y + last.height)
             sizes = sorted((p.font_size or 1.0, last.font_size or 1.0))
-            near = p.page == last.page and not (gap > GAP_HEIGHTS * last.height and gap > GAP_PAGE)
+            near = p.page != last.page or not (gap > GAP_HEIGHTS * last.height and gap > GAP_PAGE)
             if node.kind == kind and node.level == level and near and sizes[1] <= FONT_RATIO * max(sizes[0], 1e-6):
                 node.text = f"{node.text} {p.content}"
                 node.cover(p)
+                node.page_end = max(node.page_end, p.page + 1)
                 node.confidence = min(node.confidence, h.confidence if h else 1.0)
                 self.open_text = (node, p)
                 return
@@ -177,8 +194,56 @@ class Assembler:
             made.metadata["header"] = "true"
         self.cells[row, h.col] = made
 
+    def turn(self, page: list[Primitive]) -> None:
+        """Before a page's primitives: what is open stays open only where the page's first content goes on with it."""
+        content = ((p, primary(p)) for p in page if p.kind in ("text", "image"))
+        first, h = next(((p, h) for p, h in content if h is None or h.kind not in RUNNING), (None, None))
+        kind = h.kind if h else None
+        if self.open_table is not None:
+            if kind in TABULAR:
+                self.repeated = self.heads_again(page)
+                self.table_base = None
+            else:
+                self.close_table()
+        if self.open_list is not None:
+            deepest = max((c.level or 0 for c in self.open_list.children), default=0)
+            if kind != "list_item":
+                self.close_list()
+            elif (h.depth or 0) > deepest + 1:
+                self.warnings.append(Warning_("heuristic_inference", f"a list goes from depth {deepest} to {h.depth} over a page break", first.page))
+        if self.open_text and not (first is not None and h is None and self.runs_on(first)):
+            self.close_text()
+
+    def runs_on(self, p: Primitive) -> bool:
+        """Whether a bare text that begins a page goes on with the open paragraph: by how it begins, else by its place."""
+        node, last = self.open_text
+        if p.kind != "text" or node.kind != "paragraph" or not node.text:
+            return False
+        if _GOES_ON.search(p.content or ""):
+            return True
+        end = node.text.split()[-1:] or [""]
+        if end[0].endswith(("!", "?")) or end[0].endswith(".") and len(end[0]) > SHORT_WORD:
+            return False
+        alike = abs(node.width - p.width) <= SAME_WIDTH * max(node.width, p.width)
+        sized = last.font_size is not None and p.font_size is not None and abs(last.font_size - p.font_size) < SAME_SIZE
+        return abs(node.x - p.x) <= SAME_LEFT and alike and sized
+
+    def heads_again(self, page: list[Primitive]) -> set[int]:
+        """The texts of the page's first row, if they are those of the open table's, column by column."""
+        tabular = [(p, primary(p)) for p in page if p.kind == "text" and (h := primary(p)) and h.kind in TABULAR]
+        top = [(p, h) for p, h in tabular if h.kind == "table_header" or h.row == 0]
+        said: dict[int, str] = {}
+        for p, h in top:
+            said[h.col] = f"{said[h.col]} {p.content}" if h.col in said else p.content or ""
+        heads = {c: n.text or "" for (r, c), n in self.cells.items() if r == 0}
+        same = {c: x.strip() for c, x in said.items()} == {c: x.strip() for c, x in heads.items()}
+        return {id(p) for p, _ in top} if said and same and len(tabular) > len(top) else set()
+
     def take(self, p: Primitive) -> None:
         h = primary(p)
+        if id(p) in self.repeated:
+            self.open_table.page_end = max(self.open_table.page_end, p.page + 1)
+            return
         kind = h.kind if h else None
         if p.kind == "image":
             self.close_all()
@@ -201,7 +266,8 @@ class Assembler:
             self.cell(p, h, 0 if kind == "table_header" else h.row, kind == "table_header")
         elif kind == "table_continuation":
             if self.table_base is None or self.table_base[0] != p.page:
-                self.table_base = (p.page, max((r for r, _ in self.cells), default=-1) + 1)
+                above = 1 if self.repeated else 0  # the header row that is not taken again
+                self.table_base = (p.page, max((r for r, _ in self.cells), default=-1) + 1 - above)
             self.cell(p, dataclasses.replace(h), h.row + self.table_base[1], False)
         elif kind == "in_table" and self.open_table is not None:
             self.cell(p, h, h.row, False)
@@ -259,8 +325,12 @@ class Assembler:
 
 def assemble(primitives: list[Primitive]) -> tuple[Node, list[Node], list[Warning_]]:
     a = Assembler()
-    for p in primitives:
-        a.take(p)
+    for number, page in enumerate([*g] for _, g in itertools.groupby(primitives, key=lambda p: p.page)):
+        a.repeated = set()
+        if number:
+            a.turn(page)
+        for p in page:
+            a.take(p)
     root = a.finish()
     return root, a.artifacts, a.warnings
 

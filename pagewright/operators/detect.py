@@ -171,6 +171,42 @@ def _sound(text: str) -> bool:
 DETECTORS: list = []
 
 
+def _leading_table(texts: list[Primitive]) -> list[Hint]:
+    """The cells of the table that a page's content begins with, if it begins with one."""
+    out: list[Hint] = []
+    for p in texts:
+        h = next((h for h in p.hints if h.kind != "link"), None)
+        if h is not None and h.kind == "page_footer":
+            continue
+        if h is None or h.kind != "table_cell" or (h.row, h.col) == (0, 0) and out and (h.row, h.col) < (out[-1].row, out[-1].col):
+            break
+        out.append(h)
+    return out
+
+
+def continue_table(texts: list[Primitive], wide: int | None) -> int | None:
+    """Make a table that begins a page go on with one of as many columns that ended the page before.
+
+    wide: that table's columns, None without one. Returns the same of this page.
+    """
+    leading = _leading_table(texts)
+    columns = len({h.col for h in leading})
+    if wide and columns == wide:
+        for h in leading:
+            h.kind = "table_continuation"
+    tail: set[int] = set()
+    for p in reversed(texts):
+        h = next((h for h in p.hints if h.kind != "link"), None)
+        if h is not None and h.kind == "page_footer":
+            continue
+        if h is None or h.kind not in ("table_cell", "table_continuation"):
+            break
+        tail.add(h.col)
+        if h.kind == "table_cell" and (h.row, h.col) == (0, 0):
+            break
+    return len(tail) or None
+
+
 def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
     """The primitives in reading order, with hints where their format gave none, and what was guessed.
 
@@ -191,7 +227,7 @@ def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
         if not kept or kept[-1] - s >= 0.5:
             kept.append(s)
         levels[s] = min(len(kept), 6)
-    out, warnings = [], []
+    out, warnings, wide = [], [], None
     for number in sorted(pages):
         page = pages[number]
         texts = [p for p in page if p.kind == "text"]
@@ -205,7 +241,9 @@ def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
             for p in texts:
                 p.hints += links[id(p)]
             warnings.append(Warning_("heuristic_inference", "structure is read from the layout", number))
-        out += reading_order(texts) + [p for p in page if p.kind != "text"]
+        ordered = reading_order(texts)
+        wide = continue_table(ordered, wide)
+        out += ordered + [p for p in page if p.kind != "text"]
     return out, warnings
 
 
@@ -234,7 +272,8 @@ def find_blocks(page: list[Primitive], body: float, levels: dict[float, int]) ->
             hint = Hint("heading", level=min(len(set(levels.values())) + 1, 6), confidence=SURE["heading_caps"], detector="heading")
         elif bold and not first.is_italic and size == body and 1 < len(text.split()) <= 8 and _sound(text) and text[:1].isupper() and len(lines) > 1:
             hint = Hint("heading", level=min(len(set(levels.values())) + 2, 6), confidence=SURE["heading_bold"], detector="heading")
-        begins = i == 0 or gaps[i - 1] > wide or other
+        # A page's first line stays bare: it may go on with the paragraph before the break.
+        begins = i > 0 and gaps[i - 1] > wide or other
         other = hint is not None
         if hint is None and begins:
             hint = Hint("paragraph", confidence=SURE["paragraph"], detector="paragraph")

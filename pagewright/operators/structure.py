@@ -42,7 +42,7 @@ def cells(nodes: DataFrame, key: str) -> DataFrame:
 
 
 def tables(nodes: DataFrame, key: str) -> DataFrame:
-    """key, table_id, rows, cols, first_page, last_page, cells."""
+    """key, table_id, rows, cols, first_page, last_page, is_cross_page, cells."""
     inner = F.array_sort(F.collect_list(F.struct("row", "col", "rowspan", "colspan", "text")))
     held = cells(nodes, key).groupBy(key, "table_id").agg(inner.alias("cells"))
     return nodes.filter("kind = 'table'").select(
@@ -52,6 +52,7 @@ def tables(nodes: DataFrame, key: str) -> DataFrame:
         F.col("col").alias("cols"),
         (F.col("page_start") + 1).alias("first_page"),
         F.col("page_end").alias("last_page"),
+        (F.col("page_end") > F.col("page_start") + 1).alias("is_cross_page"),
     ).join(held, [key, "table_id"], "left")
 
 

@@ -38,6 +38,14 @@ def statements(s, d) -> Corpus:
     return Corpus(samples.made(_customers(s, d), samples.statement))
 
 
+def ledgers(s, d) -> Corpus:
+    return Corpus(samples.made(_customers(s, d), samples.ledger))
+
+
+def essays(s, d) -> Corpus:
+    return Corpus(samples.made(_customers(s, d), samples.essay))
+
+
 def _cells(tables, *more):
     return tables.select("doc_id", "first_page", F.explode("cells").alias("c")).select("doc_id", *more, "c.row", "c.col", "c.text")
 
@@ -168,4 +176,20 @@ QUERIES = {
         lambda s, d: statements(s, d).decoded("artifacts").select("doc_id", F.explode("artifacts").alias("a")).select("doc_id", "a.kind", "a.text"),
         f"WITH {_C} SELECT DISTINCT doc_id, 'page_footer' AS kind, CAST({_PAGE} + 1 AS VARCHAR) AS text FROM c",
     ),
+    "pdf_cross_page_tables": (
+        lambda s, d: ledgers(s, d).tables().select("doc_id", "rows", "cols", "first_page", "last_page", "is_cross_page"),
+        f"""WITH {_C} SELECT doc_id, CAST(count(*) + 1 AS INTEGER) AS rows, 2 AS cols, 1 AS first_page, CAST((count(*) - 1) // 20 + 1 AS INTEGER) AS last_page,
+            count(*) > 20 AS is_cross_page FROM c GROUP BY doc_id""",
+    ),
+    "pdf_cross_page_cells": (
+        lambda s, d: _cells(ledgers(s, d).tables()),
+        f"""WITH {_C} SELECT doc_id, CAST(n AS INTEGER) AS row, 0 AS col, name AS text FROM c
+            UNION ALL SELECT doc_id, CAST(n AS INTEGER), 1, format('{{:.2f}}', balance) FROM c
+            UNION ALL SELECT DISTINCT doc_id, 0, unnest([0, 1]), unnest(['Name', 'Balance']) FROM c""",
+    ),
+    "pdf_cross_page_paragraphs": (
+        lambda s, d: essays(s, d).nodes().filter("kind = 'paragraph'").select("doc_id", "text", (F.col("page_end") - F.col("page_start")).alias("pages")),
+        f"""WITH {_C}, p AS (SELECT doc_id, max({_PAGE}) + 1 AS pages, string_agg('and account ' || lpad(key::VARCHAR, 12, '0') || ' of ' || name, ' ' ORDER BY key) AS text FROM c GROUP BY doc_id)
+            SELECT doc_id, text, pages FROM p UNION ALL SELECT doc_id, 'The end.', 1 FROM p""",
+    ),
 }

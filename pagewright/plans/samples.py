@@ -108,17 +108,8 @@ def _show(x: float, y: float, size: int, text: str, font: str = "F1") -> str:
     return f"BT /{font} {size} Tf {x} {y} Td ({shown}) Tj ET "
 
 
-def statement(doc: int, rows: list[dict], most: int = 20) -> bytes:
-    """Pages of a large heading with a link, a line of text, a ruled table of two columns and a page number."""
-    pages = [rows[i : i + most] for i in range(0, len(rows), most)]
-    bodies, extras = [], []
-    for number, some in enumerate(pages, 1):
-        low = 700 - 20 * len(some)
-        line = lambda x0, y0, x1, y1: f"{x0} {y0} m {x1} {y1} l S "
-        rules = "".join(line(60, 700 - 20 * k, 540, 700 - 20 * k) for k in range(len(some) + 1)) + "".join(line(x, low, x, 700) for x in (60, 300, 540))
-        cells = "".join(_show(66, 686 - 20 * k, 10, r["name"]) + _show(306, 686 - 20 * k, 10, f"{r['balance']:.2f}") for k, r in enumerate(some))
-        bodies.append(_show(60, 760, 24, f"Accounts {doc}", "F2") + _show(60, 730, 10, f"Page for document {doc} follows here.") + rules + cells + _show(290, 30, 10, str(number)))
-        extras.append(f"/Annots [<< /Subtype /Link /Rect [55 755 400 785] /A << /URI (http://x.y/{doc}/{number}) >> >>]")
+def _pdf(pages: list[tuple[str, str]]) -> bytes:
+    """A file of pages of 600 by 800 points, each (content, more entries of its dictionary)."""
     n = len(pages)
     objects = [
         "<< /Type /Catalog /Pages 2 0 R >>",
@@ -126,13 +117,51 @@ def statement(doc: int, rows: list[dict], most: int = 20) -> bytes:
         "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
         "<< /Type /Font /Subtype /Type1 /BaseFont /ABCDEF+Helvetica-Bold >>",
     ]
-    for k, (body, extra) in enumerate(zip(bodies, extras)):
+    for k, (body, extra) in enumerate(pages):
         objects.append(f"<< /Type /Page /Parent 2 0 R /Contents {6 + 2 * k} 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> {extra} >>")
         objects.append(f"<< /Length {len(body)} >>\nstream\n{body}\nendstream")
     made = "%PDF-1.4\n" + "".join(f"{i + 1} 0 obj\n{x}\nendobj\n" for i, x in enumerate(objects)) + "trailer << /Root 1 0 R >>\n%%EOF"
     return made.encode("latin-1")
 
 
+def _ruled(rows: list[tuple[str, str]]) -> str:
+    """A ruled table of two columns from y = 700 down, 20 points a row."""
+    line = lambda x0, y0, x1, y1: f"{x0} {y0} m {x1} {y1} l S "
+    low = 700 - 20 * len(rows)
+    rules = [line(60, 700 - 20 * k, 540, 700 - 20 * k) for k in range(len(rows) + 1)] + [line(x, low, x, 700) for x in (60, 300, 540)]
+    cells = [_show(66, 686 - 20 * k, 10, a) + _show(306, 686 - 20 * k, 10, b) for k, (a, b) in enumerate(rows)]
+    return "".join(rules + cells)
+
+
+def _paged(rows: list[dict], most: int = 20) -> list[list[dict]]:
+    return [rows[i : i + most] for i in range(0, len(rows), most)]
+
+
+def statement(doc: int, rows: list[dict]) -> bytes:
+    """Pages of a large heading with a link, a line of text, a ruled table of two columns and a page number."""
+    pages = []
+    for number, some in enumerate(_paged(rows), 1):
+        body = _show(60, 760, 24, f"Accounts {doc}", "F2") + _show(60, 730, 10, f"Page for document {doc} follows here.")
+        body += _ruled([(r["name"], f"{r['balance']:.2f}") for r in some]) + _show(290, 30, 10, str(number))
+        pages.append((body, f"/Annots [<< /Subtype /Link /Rect [55 755 400 785] /A << /URI (http://x.y/{doc}/{number}) >> >>]"))
+    return _pdf(pages)
+
+
+def ledger(doc: int, rows: list[dict]) -> bytes:
+    """One ruled table over all pages, its header row again on each."""
+    heads = ("Name", "Balance")
+    return _pdf([(_ruled([heads, *[(r["name"], f"{r['balance']:.2f}") for r in some]]), "") for some in _paged(rows)])
+
+
+def essay(doc: int, rows: list[dict]) -> bytes:
+    """One paragraph over all pages, a line for each row; on the last page another one after a gap."""
+    pages = []
+    for number, some in enumerate(parts := _paged(rows)):
+        lines = "".join(_show(60, 700 - 12 * k, 10, f"and account {r['key']:012d} of {r['name']}") for k, r in enumerate(some))
+        pages.append((lines + (_show(60, 200, 10, "The end.") if number == len(parts) - 1 else ""), ""))
+    return _pdf(pages)
+
+
 def made(rows: DataFrame, make: Callable[[int, list[dict]], bytes]) -> DataFrame:
     """doc_id, content: a file for each doc_id of rows (doc_id, key, name, balance, segment), its rows in order of key."""
     parts = F.array_sort(F.collect_list(F.struct("key", "name", "balance", "segment")))
