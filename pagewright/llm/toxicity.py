@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +127,7 @@ def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, ranks: np.ndarray |
     rows ask for it, so what many toxic rows share is learned before what one of them has. weight: how much each row
     counts in the loss; ranks: the rows in the order that the seed permutes. With two classes all that a bucket gives a
     row's logits is its vector times the difference of the softmax's columns, so a step needs one number for each n-gram
-    and none of its width.
+    and none of its width. The bags are used up.
     """
     n = len(toxic)
     rng = np.random.default_rng(seed)
@@ -138,19 +138,19 @@ def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, ranks: np.ndarray |
         met += np.bincount(bags.buckets[cut_], minlength=BUCKETS)
     factor = np.where(met >= MIN_DOCS, RARE / (RARE + seen / max(seen.sum(), 1)), 0.0)
     known = np.flatnonzero(factor)
-    places = np.zeros(BUCKETS, np.int32)
-    places[known] = np.arange(len(known))  # an n-gram that is not known has place 0, and no part there
-    place, part, norms = np.empty(len(bags.buckets), np.int32), np.empty(len(bags.buckets), np.float32), np.zeros(n)
+    places = np.full(BUCKETS, len(known), np.uint32)  # the last place stands for all that is not known, and counts nothing
+    places[known] = np.arange(len(known))
+    counts = np.append(factor[known], 0.0)
+    total, norms = np.zeros(n), np.zeros(n)
     for row, cut_ in bags.runs():
-        buckets, times = bags.buckets[cut_], bags.times[cut_]
-        share = factor[buckets] * times / np.maximum(np.bincount(row, times, n), 1)[row]
-        place[cut_], part[cut_] = places[buckets], share
-        norms += np.bincount(row, share * share, n)
-    norms = np.sqrt(norms)
+        place = bags.buckets[cut_] = places[bags.buckets[cut_]]  # in place: from here on, buckets are places
+        total += np.bincount(row, bags.times[cut_], n)
+        norms += np.bincount(row, (counts[place] * bags.times[cut_]) ** 2, n)
+    total = np.maximum(total, 1)
+    norms = np.sqrt(norms) / total
     scale = 1 / float(np.median(norms[norms > 0])) if (norms > 0).any() else 1.0
-    part *= np.float32(scale)
-    starts = bags.starts
-    vectors = np.zeros((len(known), WIDTH), np.float32)  # so that an n-gram that tells nothing says nothing
+    counts, starts = (counts * scale).astype(np.float32), bags.starts
+    vectors = np.zeros((len(counts), WIDTH), np.float32)  # so that an n-gram that tells nothing says nothing
     softmax, offset = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2)
     worth = weight / max(weight.mean(), 1e-9) if n else weight
     for epoch in range(EPOCHS):
@@ -159,18 +159,19 @@ def train(bags: Bags, toxic: np.ndarray, weight: np.ndarray, ranks: np.ndarray |
         for k in range(0, n, BATCH):
             group = order[k : k + BATCH]
             spans = [slice(starts[i], starts[i + 1]) for i in group]
-            at, shares = (np.concatenate([x[s] for s in spans]) for x in (place, part))
+            at, times = (np.concatenate([x[s] for s in spans]) for x in (bags.buckets, bags.times))
             row = np.repeat(np.arange(len(group)), starts[group + 1] - starts[group])
+            shares = counts[at] * times / total[group][row]
             slant = softmax[:, 1] - softmax[:, 0]
             logit = np.bincount(row, shares * (vectors @ slant)[at], len(group)) + offset[1] - offset[0]
             error = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - toxic[group]) * worth[group] / len(group)
-            pull = np.bincount(at, shares * error[row], len(known)).astype(np.float32)
+            pull = np.bincount(at, shares * error[row], len(counts)).astype(np.float32)
             toward = pull @ vectors
             vectors -= np.float32(step) * pull[:, None] * slant
             softmax -= np.float32(step * 0.1) * np.stack([-toward, toward], axis=1)
             offset -= step * 0.1 * error.sum() * np.array([-1.0, 1.0])
     weights = np.zeros(BUCKETS, np.float32)
-    weights[known] = vectors @ (softmax[:, 1] - softmax[:, 0]) * factor[known] * scale
+    weights[known] = (vectors @ (softmax[:, 1] - softmax[:, 0]) * counts)[:-1]
     return ToxicityModel(weights, float(offset[1] - offset[0]))
 
 
@@ -185,7 +186,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """A model from the whole texts of a bounded sample: most[c] labelled documents of each class c.
 
-    Executors count the n-grams of the texts; the driver gets six bytes for each different n-gram of a document, of which
+    Executors count the n-grams of the texts; the driver holds six bytes for each different n-gram of a document, of which
     there are BUCKETS at most however long it is. Labels other than 0 and 1 and null keys teach nothing, a label that is
     repeated counts once, of texts that share a key the least is taken; null and empty texts teach their label without
     n-grams. Without labels all scores are 0.5, with those of one class all tend to it. Other columns are not read.
@@ -199,31 +200,32 @@ def fit_toxicity(
             for cut_, texts in text_parts(batch.column(2), HELD_BYTES):
                 some = batch.slice(cut_.start, cut_.stop - cut_.start)
                 held = [bag(fold(t.decode())) for t in texts]
-                buckets = pa.array([b.astype(np.uint32).tobytes() for b, _ in held], pa.binary())
-                times = pa.array([np.minimum(t, 65535).astype(np.uint16).tobytes() for _, t in held], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), buckets, times], ["place", "label", "buckets", "times"])
+                packer = zstandard.ZstdCompressor(level=3)
+                packed = [
+                    packer.compress(np.diff(b, prepend=0).astype(np.uint32).tobytes() + np.minimum(t, 65535).astype(np.uint16).tobytes())
+                    for b, t in held
+                ]
+                sizes = pa.array([len(b) for b, _ in held], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), sizes, pa.array(packed, pa.binary())], ["place", "label", "n", "held"])
 
     placed = sample.select(F.xxhash64(F.col(key)).alias("place"), F.col("label").cast("int"), F.col("text"))
-    counted = placed.mapInArrow(count, "place long, label int, buckets binary, times binary").toArrow()
+    counted = placed.mapInArrow(count, "place long, label int, n long, held binary").toArrow()
     ranks = np.argsort(counted.column("place").to_numpy(), kind="stable")
     toxic = counted.column("label").to_numpy().astype(float)
-    sizes = pc.binary_length(counted.column("times")).to_numpy() // 2
-    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    flat = [np.empty(starts[-1], np.uint32), np.empty(starts[-1], np.uint16)]
-    for array, name in zip(flat, ("buckets", "times")):
-        at = 0
-        for chunk in counted.column(name).chunks:
-            ends, width = np.frombuffer(chunk.buffers()[1], np.int32), array.itemsize
-            data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[chunk.offset] : ends[chunk.offset + len(chunk)]]
-            array[at : at + len(data) // width] = np.frombuffer(data.tobytes(), array.dtype)
-            at += len(data) // width
+    starts = np.concatenate([[0], np.cumsum(counted.column("n").to_numpy(), dtype=np.int64)])
+    bags = Bags(np.empty(starts[-1], np.uint32), np.empty(starts[-1], np.uint16), starts)
+    packer = zstandard.ZstdDecompressor()
+    for begin, end, x in zip(starts[:-1], starts[1:], counted.column("held")):
+        data, n = packer.decompress(x.as_py()), end - begin
+        bags.buckets[begin:end] = np.cumsum(np.frombuffer(data, np.uint32, n))
+        bags.times[begin:end] = np.frombuffer(data, np.uint16, n, 4 * n)
     del counted
     give_back()
     held = {c: float((toxic == c).sum()) for c in (0, 1)}
     # A class of which the sample holds a part only counts with the weight of the whole.
     weight = np.array([shares.get(int(c), 0) / max(held[int(c)], 1) for c in toxic], float)
-    model = train(Bags(*flat, starts), toxic, weight, ranks)
-    del flat
+    model = train(bags, toxic, weight, ranks)
+    del bags
     give_back()
     return model
 
