@@ -81,7 +81,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), line_order("doc_id", "text").alias("place"))
     mixed = mix(stage(sized, "sizes"), size=F.col("words"), order=F.col("place"))
     times = [F.round(F.try_element_at("positions", F.lit(k)), 9).alias(f"position_{k}") for k in range(1, MOST_REPEATS + 1)]
-    return mixed.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last()).select(
+    # The hash spreads documents without a place, which may be many, over the last ranges.
+    first = [F.try_element_at("positions", F.lit(1)).asc_nulls_last(), F.xxhash64("doc_id", "size")]
+    return mixed.orderBy(*first).select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", *times
     )
 
