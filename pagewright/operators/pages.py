@@ -46,7 +46,7 @@ def search(pages: DataFrame, keys: list[str], query: str, text: str = "text") ->
         start,
         lambda a, p: F.struct(
             (a["at"] + F.char_length(p)).alias("at"),
-            F.when(F.startswith(p, F.lit(needle)), F.array_append(a["hits"], a["at"])).otherwise(a["hits"]).alias("hits"),
+            F.when((a["at"] > 0) | F.startswith("folded", F.lit(needle)), F.array_append(a["hits"], a["at"])).otherwise(a["hits"]).alias("hits"),
         ),
     )
     hits = walked["hits"]
