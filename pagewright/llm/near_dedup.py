@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import sketches
 from pagewright.llm.arrow import slices, text_parts, tidy
-from pagewright.llm.components import components
+from pagewright.llm.components import FOREST_ROWS, Forest, components
 from pagewright.llm.staging import ROW, free, stage, stage_rows
 
 #: Links need 100 * intersection >= PERCENT * union. Below LEAST_PERCENT the bands would miss pairs.
@@ -31,9 +31,6 @@ HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 1 << 20
 
 ALL = 2
 
-#: Links, or nodes, of which one task makes a forest.
-FOREST_ROWS = 1 << 19
-
 
 def sketch_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """ROW, key, n, same, sketch: size of each row's set, a SHA-256 digest of its words in order, and its registers."""
@@ -96,52 +93,11 @@ def _bounds_of(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(fresh), table.num_rows)
 
 
-class Forest:
-    """Union-find over the ids of one table; keeps the links that join two trees."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while (p := self.parent.setdefault(x, x)) != x:
-            self.parent[x] = x = self.parent[p] if p in self.parent else p
-        return x
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            if (p := self.root(x)) != (q := self.root(y)):
-                self.parent[max(p, q)] = min(p, q)
-                self.links.append((x, y))
-
-    def batch(self) -> pa.RecordBatch:
-        a, b = zip(*self.links) if self.links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def forest_of(links: DataFrame, name: str) -> DataFrame:
-    """a, b: links without those that others of the same share make superfluous.
-
-    Bands repeat each other's links, as blocks do; a share of FOREST_ROWS links becomes a forest in one task, so that
-    the rounds of components() have at most as many links as nodes where all links are one share.
-    """
-    held = stage(links, name)
-
-    @tidy
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for batch in batches:
-            forest.link(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield forest.batch()
-
-    return held.repartition(held.count() // FOREST_ROWS + 1).mapInArrow(thin, "a long, b long")
-
-
 Match = Callable[[pa.Table, np.ndarray, Callable], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def group_links(members: DataFrame, payload: DataFrame, match: Match, name: str) -> DataFrame:
-    """a, b: links that connect what the true links within each group connect.
+    """a, b: edges that connect what the true links within each group connect.
 
     members has grp, member and n (its shingles), payload has member and what match() compares. A group that fits into a
     block is compared pair by pair in one task. A larger one goes through two passes. First its members are dealt into
@@ -184,7 +140,7 @@ def group_links(members: DataFrame, payload: DataFrame, match: Match, name: str)
 
 
 def _matched(placed: DataFrame, payload: DataFrame, match: Match, name: str) -> DataFrame:
-    """Forests of the links that match() finds within each (grp, i, j) of placed members.
+    """Stars of what the links that match() finds within each (grp, i, j) of placed members connect.
 
     All members of a block of the side ALL meet; of other blocks the two sides do, if they are of different parts.
     """
@@ -230,7 +186,7 @@ def _pairs(bounds: np.ndarray, due: Callable) -> Iterator[tuple[np.ndarray, np.n
 
 
 def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between sets that share a band and may be similar enough; they connect all such pairs.
+    """a, b: edges that connect all sets that share a band and may be similar enough.
 
     sets has set_id, n and sketch. The key of a band is counted first; of keys that one set alone has nothing more is
     moved. See group_links() for keys that many sets share.
@@ -260,7 +216,7 @@ def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def verified_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: true links that connect what all true links of each candidate component connect.
+    """a, b: edges that connect what all true links of each candidate component connect, and nothing more.
 
     groups has node, root and n; texts has ROW and text. A text is moved once to its component's block, and again only
     as group_links() says; there its full set is made and pairs are counted by the shingles that they share.
@@ -327,10 +283,10 @@ def near_groups(rows: DataFrame, key: str = "doc_id", text: str = "text", percen
     lead = F.min(F.struct(F.col("key").isNull().alias("none"), "key", ROW)).alias("lead")
     sets = sketched.filter("n > 0").groupBy("same").agg(lead, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     sets = stage(sets.withColumn("set_id", F.col(f"lead.{ROW}")), "sets")
-    fuzzy = components(forest_of(candidate_links(sets, percent), "likely"))
+    fuzzy = components(candidate_links(sets, percent))
     fuzzy = stage(fuzzy.join(sets.select(F.col("set_id").alias("node"), "n"), "node"), "candidates")
     links = verified_links(fuzzy, rows.select(ROW, F.col(text).cast("string").alias("text")), percent)
-    linked = stage(components(forest_of(links, "links")).select(F.col("node").alias("set_id"), "root"), "linked")
+    linked = stage(components(links).select(F.col("node").alias("set_id"), "root"), "linked")
     rooted = sets.select("same", "set_id", "lead").join(linked, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     # Both sides of each join below are plain exchanges, so that a hot root or text is a skewed side that can be split.
     rooted = stage(rooted, "rooted")

@@ -54,6 +54,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
+def is_staged(df: DataFrame) -> bool:
+    """Whether df is a table as stage() gave it."""
+    return hasattr(df, "_pw_path")
+
+
 def free(*tables: DataFrame) -> None:
     """Remove tables from stage() that nothing will read any more."""
     for table in tables:

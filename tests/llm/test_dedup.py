@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pagewright.llm import components as graph
 from pagewright.llm import near_dedup, sketches, substring_dedup
 from pagewright.llm.components import components
 from pagewright.llm.exact_dedup import CountingQuotientFilter, drop_exact_copies, exact_groups
@@ -183,7 +184,9 @@ def test_estimates_are_near_the_truth():
     assert np.abs(sketches.estimate(r[a], r[b], n[a], n[b]) - truth).max() < 0.15
 
 
-def test_components_of_paths_stars_and_rings(spark):
+@pytest.mark.parametrize("share", [1 << 19, 50, 7])
+def test_components_of_paths_stars_and_rings(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "FOREST_ROWS", share)
     path = [(i, i + 1) for i in range(40)]
     star = [(100, x) for x in range(101, 140)]
     ring = [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
