@@ -33,10 +33,11 @@ class Corpus:
         return decode(self.raw, list(parts), self.key, self.content, self.kind)
 
     def metadata(self) -> DataFrame:
+        """What each document is; of PDF files the pages are not read for it."""
         return self.decoded("title", "page_count", "page_basis", "encrypted")
 
     def errors(self) -> DataFrame:
-        return self.decoded("title").filter("error is not null").select(self.key, "format", "error")
+        return self.decoded("warnings").filter("error is not null").select(self.key, "format", "error")
 
     def primitives(self) -> DataFrame:
         return s.exploded(self.decoded("primitives"), self.key, "primitives")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import statistics
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 from pagewright.functions import text as t
 from pagewright.sources.model import Decoded, Hint, Primitive, Warning_
@@ -21,22 +22,41 @@ SNAP, SHORTEST = 0.004, 0.01
 #: How far from its column's edge a text of a table without rules may begin, in pages.
 ALIGNED = 0.02
 
+#: Least share of filled cells of a table without rules.
+FILLED = 0.3
+
 _BULLET = re.compile(t.LIST_BULLET)
 _ORDERED = re.compile(t.LIST_ORDERED)
 
 
-def lines_of(texts: list[Primitive]) -> list[list[Primitive]]:
-    """Visual lines: texts that share more than half of the smaller height, left to right, top down."""
+def barriers_of(page: list[Primitive]) -> list[Primitive]:
+    """Rules that stand upright between texts: over three times as high as wide, and over 2 % of the page high."""
+    return [p for p in page if p.kind == "line" and p.height > 3 * p.width and p.height > 0.02]
+
+
+def _parted(line: list[Primitive], p: Primitive, barriers: list[Primitive]) -> bool:
+    """Whether a rule that is as high as half of the text or more stands between it and the nearest text of the line."""
+    near = min(line, key=lambda q: abs(q.x + q.width / 2 - p.x - p.width / 2))
+    left, right = sorted((near, p), key=lambda q: q.x)
+    high = [min(b.y + b.height, p.y + p.height) - max(b.y, p.y) for b in barriers if left.x + left.width - SNAP <= b.x <= right.x + SNAP]
+    return any(h > 0.5 * p.height for h in high)
+
+
+def lines_of(texts: list[Primitive], barriers: list[Primitive] = ()) -> list[list[Primitive]]:
+    """Visual lines: texts that share more than half of the smaller height and no rule parts, left to right, top down."""
     out: list[list[Primitive]] = []
+    reached: list[list[Primitive]] = []  # lines that a text this far down can still be on
     for p in sorted(texts, key=lambda p: (p.y, p.x)):
-        for line in reversed(out[-4:]):
+        reached = [line for line in reached if line[0].y + line[0].height > p.y]
+        for line in reversed(reached):
             a = line[0]
             shared = min(a.y + a.height, p.y + p.height) - max(a.y, p.y)
-            if shared > 0.5 * min(a.height, p.height):
+            if shared > 0.5 * min(a.height, p.height) and not (barriers and _parted(line, p, barriers)):
                 line.append(p)
                 break
         else:
             out.append([p])
+            reached.append(out[-1])
     return [sorted(line, key=lambda p: p.x) for line in out]
 
 
@@ -83,24 +103,67 @@ def nearest_order(boxes: list[Primitive], flow: float = 0.5) -> list[Primitive]:
     return out
 
 
-def stream_tables(lines: list[list[Primitive]]) -> list[tuple[list[list[Primitive]], list[float]]]:
-    """Tables without rules: runs of at least three lines of as many texts each, two or more, that stand below each other.
-
-    Returns the lines of each and the left edges of its columns; a run of which under 30 % of the cells are filled, or whose
-    texts are aligned in under 60 % of the places, is none.
-    """
-    out = []
-    run: list[list[Primitive]] = []
-    for line in [*lines, []]:
-        if run and len(line) == len(run[-1]):
-            run.append(line)
+def _anchors(lines: list[list[Primitive]]) -> list[tuple[int, int]]:
+    """Runs of at least three lines of as many texts each, two or more, of which 60 % begin at their column's edge."""
+    out, first = [], 0
+    for at in range(1, len(lines) + 1):
+        if at < len(lines) and len(lines[at]) == len(lines[first]):
             continue
+        run = lines[first:at]
         if len(run) >= 3 and len(run[0]) >= 2:
             edges = [min(p.x for p in column) for column in zip(*run)]
             near = sum(abs(p.x - e) <= ALIGNED for x in run for p, e in zip(x, edges))
             if near >= 0.6 * len(run) * len(edges):
-                out.append((run, edges))
-        run = [line] if len(line) >= 2 else []
+                out.append((first, at))
+        first = at
+    return out
+
+
+def _placed(line: list[Primitive], columns: list[tuple[float, float]]) -> list[int] | None:
+    """The column of each text: the one whose left edge, middle or right edge it shares, without reaching the next one.
+
+    None where a text has no column or two have the same.
+    """
+    out = []
+    for p in line:
+        offs = [min(abs(p.x - a), abs(p.x + p.width / 2 - (a + b) / 2), abs(p.x + p.width - b)) for a, b in columns]
+        c = min(range(len(columns)), key=offs.__getitem__)
+        if offs[c] > ALIGNED or c + 1 < len(columns) and p.x + p.width > columns[c + 1][0] + ALIGNED:
+            return None
+        out.append(c)
+    return out if len(set(out)) == len(out) else None
+
+
+def stream_tables(lines: list[list[Primitive]]) -> list[list[tuple[int, int, Primitive]]]:
+    """Tables without rules, each as (row, column, text).
+
+    A run of full lines gives the columns. Lines above and below it, with cells left empty, belong to the table as far as
+    their texts stand in its columns and no gap of over twice the middle one lies between; a line of one text only where
+    fuller ones follow. A table of which under 30 % of the cells are filled is none.
+    """
+    out, used = [], 0
+    gaps = [b[0].y - a[0].y for a, b in zip(lines, lines[1:])]
+    for first, last in _anchors(lines):
+        if first < used:
+            continue
+        run = lines[first:last]
+        columns = [(min(p.x for p in c), max(p.x + p.width for p in c)) for c in zip(*run)]
+        widest = 2 * statistics.median(gaps[first : last - 1])
+        rows = [list(range(len(columns)))] * len(run)
+        for step in (-1, 1):
+            at, held = (first - 1, []) if step < 0 else (last, [])
+            while used <= at < len(lines) and gaps[at if step < 0 else at - 1] <= widest and (placed := _placed(lines[at], columns)):
+                held.append(placed)
+                at += step
+            while held and len(held[-1]) < 2:
+                held.pop()
+            if step < 0:
+                first, rows = first - len(held), [*held[::-1], *rows]
+            else:
+                last, rows = last + len(held), [*rows, *held]
+        if sum(map(len, rows)) >= FILLED * len(rows) * len(columns):
+            out.append([(r, c, p) for r, (line, places) in enumerate(zip(lines[first:last], rows)) for c, p in zip(places, line)])
+            used = last
     return out
 
 
@@ -114,8 +177,8 @@ def _grid(values: list[float]) -> list[float]:
     return [sum(c) / len(c) for c in out]
 
 
-def lattice(lines: list[Primitive]) -> list[tuple[list[float], list[float]]]:
-    """Tables that ruling lines draw: row and column edges of each group of lines that touch one another."""
+def lattice(lines: list[Primitive]) -> list[tuple[list[float], list[float], list[Primitive]]]:
+    """Tables that ruling lines draw: row edges, column edges and lines of each group of lines that touch one another."""
     across = [p for p in lines if p.width >= SHORTEST and p.height <= SNAP]
     down = [p for p in lines if p.height >= SHORTEST and p.width <= SNAP]
     every = across + down
@@ -139,7 +202,7 @@ def lattice(lines: list[Primitive]) -> list[tuple[list[float], list[float]]]:
         rows = _grid([p.y for p in g if p.height <= SNAP])
         cols = _grid([p.x for p in g if p.width <= SNAP])
         if len(rows) >= 2 and len(cols) >= 2 and len(rows) + len(cols) > 4:
-            out.append((rows, cols))
+            out.append((rows, cols, g))
     return sorted(out, key=lambda g: (g[0][0], g[1][0]))
 
 
@@ -147,18 +210,81 @@ def _cell(edges: list[float], at: float) -> int | None:
     return next((i for i, (a, b) in enumerate(zip(edges, edges[1:])) if a - SNAP <= at <= b + SNAP), None)
 
 
+def merged_cells(rows: list[float], cols: list[float], lines: list[Primitive]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """Each place of a ruled grid to its cell's row, column, rowspan and colspan: places that no rule parts are one cell.
+
+    Places that together are no rectangle stay cells of their own.
+    """
+    upright, flat = defaultdict(list), defaultdict(list)
+    for p in lines:
+        if p.width <= SNAP:
+            upright[min(range(len(cols)), key=lambda i, p=p: abs(cols[i] - p.x))].append((p.y - SNAP, p.y + p.height + SNAP))
+        if p.height <= SNAP:
+            flat[min(range(len(rows)), key=lambda i, p=p: abs(rows[i] - p.y))].append((p.x - SNAP, p.x + p.width + SNAP))
+    wall = lambda held, at: any(a <= at <= b for a, b in held)
+    middle = lambda edges, i: (edges[i] + edges[i + 1]) / 2
+    places = {(r, c) for r in range(len(rows) - 1) for c in range(len(cols) - 1)}
+    out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for place in sorted(places):
+        if place in out:
+            continue
+        found, rest = {place}, [place]
+        while rest:
+            r, c = rest.pop()
+            open_ = [
+                ((r, c + 1), upright[c + 1], middle(rows, r)), ((r, c - 1), upright[c], middle(rows, r)),
+                ((r + 1, c), flat[r + 1], middle(cols, c)), ((r - 1, c), flat[r], middle(cols, c)),
+            ]
+            more = [x for x, held, at in open_ if x in places and x not in found and not wall(held, at)]
+            found.update(more)
+            rest += more
+        top, left = min(r for r, _ in found), min(c for _, c in found)
+        high, wide = max(r for r, _ in found) - top + 1, max(c for _, c in found) - left + 1
+        whole = high * wide == len(found)
+        for r, c in found:
+            out[r, c] = (top, left, high, wide) if whole else (r, c, 1, 1)
+    return out
+
+
+def _reached(at: int, n: int, edges: list[float], low: float, high: float, free: Callable[[int], bool]) -> tuple[int, int]:
+    """First row or column and number of them that a text from low to high covers, from its cell of n on over free ones."""
+    first, last = at, at + n - 1
+    while first > 0 and low < edges[first] - SNAP and free(first - 1):
+        first -= 1
+    while last + 2 < len(edges) and high > edges[last + 1] + SNAP and free(last + 1):
+        last += 1
+    return first, last - first + 1
+
+
+def ruled_cells(rows: list[float], cols: list[float], lines: list[Primitive], texts: list[Primitive]) -> list[tuple[Primitive, int, int, int, int]]:
+    """Texts of a ruled table with row, column, rowspan and colspan.
+
+    A cell is what rules enclose; where its text reaches over a rule into places that hold no text, these belong to it.
+    """
+    cells = merged_cells(rows, cols, lines)
+    held = []
+    for p in texts:
+        r, c = _cell(rows, p.y + p.height / 2), _cell(cols, p.x + p.width / 2)
+        if r is not None and c is not None:
+            held.append((p, *cells[r, c]))
+    taken = {(r + i, c + k) for _, r, c, high, wide in held for i in range(high) for k in range(wide)}
+    out = []
+    for p, r, c, high, wide in held:
+        left, across = _reached(c, wide, cols, p.x, p.x + p.width, lambda k: all((r + i, k) not in taken for i in range(high)))  # noqa: B023
+        top, down = _reached(r, high, rows, p.y, p.y + p.height, lambda i: all((i, left + k) not in taken for k in range(across)))  # noqa: B023
+        out.append((p, top, left, down, across))
+    return out
+
+
 def find_tables(page: list[Primitive], body: float, levels: dict[float, int]) -> None:
     """Cells of ruled tables, then of those that only their alignment shows."""
     texts = [p for p in page if p.kind == "text" and not p.hints]
-    for rows, cols in lattice([p for p in page if p.kind == "line"]):
-        for p in texts:
-            r, c = _cell(rows, p.y + p.height / 2), _cell(cols, p.x + p.width / 2)
-            if r is not None and c is not None:
-                p.hints.insert(0, Hint("table_cell", row=r, col=c, rowspan=1, colspan=1, confidence=SURE["lattice"], detector="table"))
-    for run, _ in stream_tables(lines_of([p for p in texts if not p.hints])):
-        for r, line in enumerate(run):
-            for c, p in enumerate(line):
-                p.hints.append(Hint("table_cell", row=r, col=c, rowspan=1, colspan=1, confidence=SURE["stream"], detector="table"))
+    for rows, cols, lines in lattice([p for p in page if p.kind == "line"]):
+        for p, r, c, high, wide in ruled_cells(rows, cols, lines, [p for p in texts if not p.hints]):
+            p.hints.insert(0, Hint("table_cell", row=r, col=c, rowspan=high, colspan=wide, confidence=SURE["lattice"], detector="table"))
+    for table in stream_tables(lines_of([p for p in texts if not p.hints])):
+        for r, c, p in table:
+            p.hints.append(Hint("table_cell", row=r, col=c, rowspan=1, colspan=1, confidence=SURE["stream"], detector="table"))
 
 
 def _sound(text: str) -> bool:
@@ -249,7 +375,7 @@ def enrich(d: Decoded) -> tuple[list[Primitive], list[Warning_]]:
 
 def find_blocks(page: list[Primitive], body: float, levels: dict[float, int]) -> None:
     """Page numbers, list items, headings by size, capitals or weight, and the first lines of paragraphs."""
-    lines = lines_of([p for p in page if p.kind == "text" and not p.hints])
+    lines = lines_of([p for p in page if p.kind == "text" and not p.hints], barriers_of(page))
     gaps = [b[0].y - (a[0].y + a[0].height) for a, b in zip(lines, lines[1:])]
     positive = [g for g in gaps if g > 0]
     wide = 1.5 * statistics.median(positive) if positive else 0.0

@@ -42,6 +42,14 @@ def ledgers(s, d) -> Corpus:
     return Corpus(samples.made(_customers(s, d), samples.ledger))
 
 
+def banners(s, d) -> Corpus:
+    return Corpus(samples.made(_customers(s, d), samples.banner))
+
+
+def listings(s, d) -> Corpus:
+    return Corpus(samples.made(_customers(s, d), samples.listing))
+
+
 def essays(s, d) -> Corpus:
     return Corpus(samples.made(_customers(s, d), samples.essay))
 
@@ -187,6 +195,19 @@ QUERIES = {
             UNION ALL SELECT doc_id, CAST(n AS INTEGER), 1, format('{{:.2f}}', balance) FROM c
             UNION ALL SELECT DISTINCT doc_id, 0, unnest([0, 1]), unnest(['Name', 'Balance']) FROM c""",
     ),
+    "pdf_spans": (
+        lambda s, d: banners(s, d).cells().select("doc_id", "row", "col", "rowspan", "colspan", "text"),
+        f"""WITH {_C} SELECT doc_id, CAST(n + {_PAGE} AS INTEGER) AS row, 0 AS col, 1 AS rowspan, 1 AS colspan, name AS text FROM c
+            UNION ALL SELECT doc_id, CAST(n + {_PAGE} AS INTEGER), 1, 1, 1, format('{{:.2f}}', balance) FROM c
+            UNION ALL SELECT DISTINCT doc_id, 21 * {_PAGE}, 0, 1, 2, 'Accounts ' || doc_id || ', page ' || ({_PAGE} + 1) FROM c""",
+    ),
+    "pdf_unruled_cells": (
+        lambda s, d: listings(s, d).cells().select("doc_id", "row", "col", "text"),
+        f"""WITH {_C}, x AS (SELECT *, count(*) OVER (PARTITION BY doc_id, {_PAGE}) AS lines FROM c)
+            SELECT doc_id, CAST(n - 1 AS INTEGER) AS row, 0 AS col, key::VARCHAR AS text FROM x WHERE lines > 2
+            UNION ALL SELECT doc_id, CAST(n - 1 AS INTEGER), 1, name FROM x WHERE lines > 2
+            UNION ALL SELECT doc_id, CAST(n - 1 AS INTEGER), 2, format('{{:.2f}}', balance) FROM x WHERE lines > 2 AND (n - 1) % 20 % 5 <> 3""",
+    ),
     "pdf_cross_page_paragraphs": (
         lambda s, d: essays(s, d).nodes().filter("kind = 'paragraph'").select("doc_id", "text", (F.col("page_end") - F.col("page_start")).alias("pages")),
         f"""WITH {_C}, p AS (SELECT doc_id, max({_PAGE}) + 1 AS pages, string_agg('and account ' || lpad(key::VARCHAR, 12, '0') || ' of ' || name, ' ' ORDER BY key) AS text FROM c GROUP BY doc_id)

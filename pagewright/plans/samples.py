@@ -153,6 +153,27 @@ def ledger(doc: int, rows: list[dict]) -> bytes:
     return _pdf([(_ruled([heads, *[(r["name"], f"{r['balance']:.2f}") for r in some]]), "") for some in _paged(rows)])
 
 
+def banner(doc: int, rows: list[dict]) -> bytes:
+    """A ruled table on each page whose first row is one cell over both columns."""
+    pages = []
+    for number, some in enumerate(_paged(rows), 1):
+        line = lambda x0, y0, x1, y1: f"{x0} {y0} m {x1} {y1} l S "
+        rules = line(60, 720, 540, 720) + line(60, 720, 60, 700) + line(540, 720, 540, 700)
+        pages.append((rules + _show(66, 706, 10, f"Accounts {doc}, page {number}") + _ruled([(r["name"], f"{r['balance']:.2f}") for r in some]), ""))
+    return _pdf(pages)
+
+
+def listing(doc: int, rows: list[dict]) -> bytes:
+    """Lines of key, name and balance without rules; every fifth line has no balance."""
+    pages = []
+    for some in _paged(rows):
+        shown = [(700 - 20 * k, r, k % 5 == 3) for k, r in enumerate(some)]
+        pages.append(("".join(
+            _show(60, y, 10, str(r["key"])) + _show(200, y, 10, r["name"]) + ("" if bare else _show(400, y, 10, f"{r['balance']:.2f}")) for y, r, bare in shown
+        ), ""))
+    return _pdf(pages)
+
+
 def essay(doc: int, rows: list[dict]) -> bytes:
     """One paragraph over all pages, a line for each row; on the last page another one after a gap."""
     pages = []

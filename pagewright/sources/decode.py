@@ -21,6 +21,10 @@ from pagewright.sources.model import NODE, PRIMITIVE, WARNING, Decoded, DecodeEr
 #: What a decoder is called for; more can be registered.
 DECODERS: dict[str, Callable[[bytes], Decoded]] = {"html": html.decode, "xlsx": xlsx.decode, "docx": docx.decode, "pdf": pdf.decode}
 
+#: Parts that say what a document is, and what is called where only these are asked for: pages stay unread.
+FACTS = {"title", "page_count", "page_basis", "encrypted"}
+OPENERS: dict[str, Callable[[bytes], Decoded]] = {"pdf": lambda data: pdf.decode(data, False)}
+
 #: Columns of a decoded row, by name. Only those asked for are made.
 PARTS = {
     "title": "string",
@@ -71,11 +75,13 @@ def decode_one(data: bytes | None, kind: str | None, parts: list[str]) -> dict:
     try:
         if data is None or kind not in DECODERS:
             raise DecodeError(f"unsupported format {kind}")
-        d = DECODERS[kind](bytes(data))
+        d = (OPENERS if FACTS.issuperset(parts) and kind in OPENERS else DECODERS)[kind](bytes(data))
     except DecodeError as e:
         return out | {"error": str(e)}
     except Exception as e:  # a decoder met what it did not expect: the document fails, not the job
         return out | {"error": f"{type(e).__name__}: {e}"}
+    if FACTS.issuperset(parts):
+        return out | {p: getattr(d, p) for p in parts}
     primitives, heuristics = enrich(d)
     root, artifacts, more = assemble(primitives)
     warnings = [*d.warnings, *heuristics, *more]

@@ -544,7 +544,8 @@ def _spans(chars: list[tuple]) -> Iterator[tuple]:
         yield s
 
 
-def decode(data: bytes) -> Decoded:
+def decode(data: bytes, contents: bool = True) -> Decoded:
+    """contents: whether the pages are read; else only what the file says of itself."""
     if not data.startswith(b"%PDF-"):
         raise DecodeError("no PDF header")
     file = File(data)
@@ -557,7 +558,7 @@ def decode(data: bytes) -> Decoded:
     pages, out = file.pages(), []
     if not pages:
         raise DecodeError("no pages")
-    for number, page in enumerate(pages):
+    for number, page in enumerate(pages if contents else []):
         box = [float(file.get(x)) for x in (file.list_of(page.get("CropBox")) or file.list_of(page.get("MediaBox")) or [0, 0, 612, 792])]
         left, low, width, height = min(box[0], box[2]), min(box[1], box[3]), abs(box[2] - box[0]) or 1.0, abs(box[3] - box[1]) or 1.0
         turn = int(file.get(page.get("Rotate", 0)) or 0) % 360

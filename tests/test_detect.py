@@ -33,6 +33,51 @@ def test_table_without_rules():
     assert {(p.content, p.hints[0].row, p.hints[0].col) for p in out} == {(f"r{r}c{c}", r, c) for r in range(4) for c in range(3)}
 
 
+def rule(x0, y0, x1, y1):
+    return Primitive("line", 0, 0, x0, y0, x1 - x0, y1 - y0)
+
+
+def cells(page):
+    out, _ = detect.enrich(Decoded("pdf", 1, "physical_pages", primitives=page))
+    return {(p.content, h.row, h.col, h.rowspan, h.colspan) for p in out for h in p.hints if h.kind == "table_cell"}
+
+
+def test_table_without_rules_keeps_lines_with_empty_cells():
+    page = [text(f"r{r}c{c}", 0.1 + 0.3 * c, 0.2 + 0.03 * r) for r in range(6) for c in range(3) if (r, c) not in {(1, 2), (5, 1)}]
+    page.append(text("A caption further down", 0.1, 0.6, width=0.5))
+    assert cells(page) == {(f"r{r}c{c}", r, c, 1, 1) for r in range(6) for c in range(3) if (r, c) not in {(1, 2), (5, 1)}}
+
+
+def test_hardly_filled_columns_are_no_table():
+    lines = [[text("a", 0.1, 0.1 + 0.03 * r), text("b", 0.5, 0.1 + 0.03 * r)] for r in range(3)]
+    assert len(detect.stream_tables(lines)) == 1
+    assert detect.stream_tables(lines[:2]) == []
+    assert detect.stream_tables([[text("a", 0.1 + 0.1 * r, 0.1 + 0.03 * r), text("b", 0.5 + 0.1 * r, 0.1 + 0.03 * r)] for r in range(3)]) == []
+
+
+def test_ruled_cells_span_where_no_rule_parts_them():
+    flat = [rule(0.1, y, 0.7, y) for y in (0.1, 0.2, 0.4)] + [rule(0.3, 0.3, 0.7, 0.3)]
+    upright = [rule(0.1, 0.1, 0.1, 0.4), rule(0.3, 0.2, 0.3, 0.4), rule(0.5, 0.1, 0.5, 0.4), rule(0.7, 0.1, 0.7, 0.4)]
+    page = [text("wide", 0.15, 0.14), text("one", 0.55, 0.14), text("high", 0.15, 0.32), text("a", 0.35, 0.24), text("b", 0.55, 0.34)]
+    assert cells(flat + upright + page) == {
+        ("wide", 0, 0, 1, 2), ("one", 0, 2, 1, 1), ("high", 1, 0, 2, 1), ("a", 1, 1, 1, 1), ("b", 2, 2, 1, 1),
+    }
+
+
+def test_text_over_a_rule_takes_the_free_place():
+    lines = [rule(0.1, y, 0.7, y) for y in (0.1, 0.2, 0.3)] + [rule(x, 0.1, x, 0.3) for x in (0.1, 0.3, 0.5, 0.7)]
+    page = [text("reaches over", 0.12, 0.14, width=0.3), text("c", 0.55, 0.14), text("d", 0.12, 0.24, width=0.25), text("e", 0.38, 0.24)]
+    assert cells(lines + page) == {("reaches over", 0, 0, 1, 2), ("c", 0, 2, 1, 1), ("d", 1, 0, 1, 1), ("e", 1, 1, 1, 1)}
+
+
+def test_a_rule_parts_lines_and_many_columns_do_not():
+    side = [text("left", 0.1, 0.2, width=0.3), text("right", 0.6, 0.2, width=0.3)]
+    assert len(detect.lines_of(side)) == 1
+    assert len(detect.lines_of(side, detect.barriers_of([rule(0.5, 0.1, 0.5, 0.4)]))) == 2
+    steps = [text(str(i), 0.1 + 0.1 * i, 0.2 + 0.0115 * i) for i in range(6)] + [text("end", 0.9, 0.2)]
+    assert ["0", "end"] in [[p.content for p in line if p.content in ("0", "end")] for line in detect.lines_of(steps)]
+
+
 def test_columns_are_read_one_after_the_other():
     page = [text(f"{side}{i}", x, 0.1 + 0.05 * i, width=0.35) for i in range(3) for side, x in (("l", 0.05), ("r", 0.6))]
     assert [p.content for p in detect.reading_order(page)] == ["l0", "l1", "l2", "r0", "r1", "r2"]
