@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,34 @@ def direction(text: Column) -> Column:
     return F.when(a & b, "mixed").when(a, "rtl").when(b, "ltr").otherwise("unknown")
 
 
+#: Letters of the scripts that tell a language.
+KANA, HANGUL = "[\u3040-\u30ff\uff66-\uff9f]", "[\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3]"
+HAN, ARABIC, HEBREW = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]", "[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff]", "[\u0590-\u05ff]"
+
+
+def language_of_letters(count: Callable[[str], int]) -> str | None:
+    """ja, ko, zh, ar or he by how many letters of each script a text has; count gives the number for a class of letters.
+
+    Kana are Japanese unless Hangul are more, Hangul Korean, Han letters alone Chinese; Arabic needs more letters than
+    Hebrew has. Other texts have no language by this.
+    """
+    kana, hangul = count(KANA), count(HANGUL)
+    if kana or hangul:
+        return "ja" if kana >= hangul else "ko"
+    if count(HAN):
+        return "zh"
+    arabic, hebrew = count(ARABIC), count(HEBREW)
+    return "ar" if arabic > hebrew else "he" if hebrew else None
+
+
+def script_language(text: Column) -> Column:
+    """As language_of_letters() for a column; null for null."""
+    n = lambda letters: F.regexp_count(text, F.lit(letters))
+    kana, hangul, hebrew = n(KANA), n(HANGUL), n(HEBREW)
+    east = F.when((kana > 0) & (kana >= hangul), "ja").when(hangul > 0, "ko").when(n(HAN) > 0, "zh")
+    return east.when(n(ARABIC) > hebrew, "ar").when(hebrew > 0, "he")
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
 

@@ -57,6 +57,9 @@ def _search_sql(source: str, keys: str, needle: str) -> str:
     """
 
 
+#: Texts of several scripts; the last has Han letters, one kana and more Hangul.
+_SCRIPTS = ["漢字 ", "漢字かな ", "한국 ", "عربي ", "עברית ", "", "漢字か한국 "]
+
 QUERIES = {
     "search_hits": (
         search_hits,
@@ -133,6 +136,12 @@ QUERIES = {
                  WHEN regexp_matches(text, '{t.RTL}') THEN 'rtl' WHEN regexp_matches(text, '{t.LTR}') THEN 'ltr' ELSE 'unknown' END AS direction
             FROM documents""",
     ),
+    "script_language": (
+        lambda s, d: read(s, d, "part").select(
+            "p_partkey", t.script_language(F.concat(F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("p_partkey") % 7 + 1).cast("int")), "p_name")).alias("lang")
+        ),
+        "SELECT p_partkey, ['zh', 'ja', 'ko', 'ar', 'he', NULL, 'ko'][p_partkey % 7 + 1] AS lang FROM part",
+    ),
     "whitespace_collapse": (
         lambda s, d: read(s, d, "documents").select("doc_id", t.collapse_space(F.col("text")).alias("text")),
         f"SELECT doc_id, {_SPACED} AS text FROM documents",

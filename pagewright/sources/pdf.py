@@ -6,7 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
-from pagewright.functions.text import RTL_LANGUAGES
+from pagewright.functions.text import RTL_LANGUAGES, language_of_letters
 from pagewright.sources.model import DecodeError, Decoded, Hint, Primitive, Warning_, nfc
 
 _SPACE = b"\x00\t\n\x0c\r "
@@ -606,6 +606,11 @@ def decode(data: bytes, contents: bool = True) -> Decoded:
             out.append(
                 Primitive("image", number, len(out), *boxed(ax, ay, bx_, by), None, None, kind, data=file.bytes_of(o), origin="observed", space="physical_page")
             )
+    if lang is None:
+        texts = [p for p in out if p.kind == "text"]
+        guessed = language_of_letters(lambda letters: sum(len(re.findall(letters, p.content)) for p in texts))
+        for p in texts if guessed else []:
+            p.lang, p.direction = guessed, "rtl" if guessed in RTL_LANGUAGES else "ltr"
     title = info.decode("utf-16" if info[:2] in (b"\xfe\xff", b"\xff\xfe") else "latin-1", "replace").strip() if isinstance(info, bytes) else ""
     return Decoded("pdf", len(pages), "physical_pages", title or None, False, out, file.warnings)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,9 @@ def test_cell_references(spark):
     rows = spark.createDataFrame([("A1",), ("$C$10",), ("ZZ3",), ("1A",), (None,), ("A0",)], "x string")
     got = {r.x: (r.c.row, r.c.col) if r.c else None for r in rows.select("x", text.cell_ref(F.col("x")).alias("c")).collect()}
     assert got == {"A1": (0, 0), "$C$10": (9, 2), "ZZ3": (2, 701), "1A": None, None: None, "A0": None}
+
+
+def test_language_by_letters():
+    said = {"漢字": "zh", "漢字かな": "ja", "한국": "ko", "か한": "ja", "か한국": "ko", "عربي": "ar", "עברית": "he", "plain": None, "": None, "עע عع": "he"}
+    count = lambda s: lambda letters: len(re.findall(letters, s))
+    assert {s: text.language_of_letters(count(s)) for s in said} == said
