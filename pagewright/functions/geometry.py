@@ -142,11 +142,14 @@ def clip_interval(low: Column, high: Column, least: Column, most: Column) -> Col
 
 
 def link_score(text: Column, link: Column) -> Column:
-    """How well a link's box fits a text's: share of the text's width, and up to 0.25 for near centres."""
+    """How well a link's box fits a text's: share of the text's width, and up to 0.25 for near centres.
+
+    Distances are added to 1 one after the other, as the SQL adds them: scores that are all but equal order alike.
+    """
     width = F.greatest(F.least(right(text), right(link)) - F.greatest(text["x"], link["x"]), F.lit(0.0))
     a, b = center(text), center(link)
-    apart = F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
-    return F.when(text["width"] > 0, width / text["width"]).otherwise(F.lit(0.0)) + F.lit(0.25) / (1 + apart)
+    apart = 1 + F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
+    return F.when(text["width"] > 0, width / text["width"]).otherwise(F.lit(0.0)) + F.lit(0.25) / apart
 
 
 def link_fits(text: Column, link: Column) -> Column:
