@@ -29,6 +29,9 @@ BLOCK, BLOCK_SHINGLES, PIVOTS = 128, 1 << 20, 4
 #: Rows and pairs that a task holds at once; bytes of text.
 HELD_ROWS, HELD_PAIRS, HELD_BYTES = 16_384, 1 << 15, 1 << 20
 
+#: Most words of 64 bits that say which rows of a table a join will need.
+MARK_WORDS = 1 << 20
+
 ALL = 2
 
 
@@ -93,6 +96,19 @@ def _bounds_of(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(fresh), table.num_rows)
 
 
+def _may_be_in(payload: DataFrame, members: DataFrame) -> DataFrame:
+    """payload without most of the rows whose member is not among members, which are to be a staged table.
+
+    A join moves all rows of both sides, so sketches and texts that it would drop are left out before. Marks of the members
+    are broadcast: one bit for each, in MARK_WORDS words at most; where several members share a bit, more rows stay.
+    """
+    word = F.pmod(F.xxhash64(F.shiftright("member", 6)), F.lit(MARK_WORDS))
+    bit = F.expr("shiftleft(1L, cast(member & 63 as int))")
+    marks = members.select(word.alias("_pw_word"), bit.alias("_pw_bit")).groupBy("_pw_word").agg(F.bit_or("_pw_bit").alias("_pw_bits"))
+    marked = payload.withColumns({"_pw_word": word, "_pw_bit": bit}).join(F.broadcast(marks), "_pw_word")
+    return marked.filter(F.col("_pw_bits").bitwiseAND(F.col("_pw_bit")) != 0).select(*payload.columns)
+
+
 Match = Callable[[pa.Table, np.ndarray, Callable], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -134,6 +150,7 @@ def group_links(members: DataFrame, payload: DataFrame, match: Match, name: str)
     if counts.isEmpty():
         return links
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    payload = _may_be_in(payload, held.join(counts, "grp"))
     left = apart.join(counts, "grp").select("grp", own("rest").alias("i"), every("blocks").alias("j"), "member", F.lit(0).alias("side"), "part")
     right = held.join(counts, "grp").select("grp", every("rest").alias("i"), own("blocks").alias("j"), "member", F.lit(1).alias("side"), "part")
     return links.unionByName(_matched(left.unionByName(right), payload, match, f"{name}-second"))
@@ -218,8 +235,9 @@ def candidate_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def verified_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: edges that connect what all true links of each candidate component connect, and nothing more.
 
-    groups has node, root and n; texts has ROW and text. A text is moved once to its component's block, and again only
-    as group_links() says; there its full set is made and pairs are counted by the shingles that they share.
+    groups, a staged table, has node, root and n; texts has ROW and text. Texts of candidates alone are moved, once to the
+    component's block, and again only as group_links() says; there the full set is made and pairs are counted by the
+    shingles that they share.
     """
 
     def linked(table: pa.Table, bounds: np.ndarray, due: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,7 +254,8 @@ def verified_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT)
                 yield x[use], y[use]
 
     members = groups.select(F.col("root").alias("grp"), F.col("node").alias("member"), "n")
-    return group_links(members, texts.select(F.col(ROW).alias("member"), "text"), linked, "likely")
+    held = _may_be_in(texts.select(F.col(ROW).alias("member"), "text"), members.select("member"))
+    return group_links(members, held, linked, "likely")
 
 
 def _similar(sets: sketches.Sets, a: int, b: int, percent: int) -> tuple[np.ndarray, np.ndarray]:

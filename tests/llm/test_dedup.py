@@ -193,3 +193,15 @@ def test_components_of_paths_stars_and_rings(spark, monkeypatch, share):
     got = {r.node: r.root for r in components(spark.createDataFrame(path + star + ring, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in (200, 201, 202)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("words", [near_dedup.MARK_WORDS, 1])
+def test_texts_that_are_no_candidates_are_not_moved(spark, monkeypatch, words):
+    moved, links = [], near_dedup.group_links
+    monkeypatch.setattr(near_dedup, "MARK_WORDS", words)
+    monkeypatch.setattr(near_dedup, "group_links", lambda m, payload, *more: moved.append(payload.count()) or links(m, payload, *more))
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[7] + " more"])), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(stage_rows(docs, "documents")).collect()}
+    assert got == {i: i for i in range(300)} | {300: 7}
+    assert moved[0] == 301 and (moved[1] == 2 or words == 1 and 2 <= moved[1] < 30)
