@@ -14,7 +14,7 @@ ROWS = 50
 
 def _customers(s, d):
     return read(s, d, "customer").select(
-        F.floor(F.col("c_custkey") / ROWS).alias("doc_id"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+        F.expr(f"c_custkey div {ROWS}").alias("doc_id"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
         F.col("c_acctbal").cast("double").alias("balance"), F.col("c_mktsegment").alias("segment"),
     )
 
